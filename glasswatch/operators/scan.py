@@ -40,13 +40,13 @@ class Prefilter:
  X
     """
 
-    def __init__(self, patterns: Iterable[Pattern]):
+    def __init__(self, patterns: Iterable[Pattern], edges: bool = True):
         self.number = {p: i for i, p in enumerate(dict.fromkeys(patterns))}
         self.owners: dict[tuple, list[int]] = {}
         self.digits: list[tuple[int, int]] = []
         for p, i in self.number.items():
             for a in p.anchors() or ():
-                self.owners.setdefault(tuple(a), []).append(i)
+                self.owners.setdefault(tuple(a) if edges else (a.literal, False, False), []).append(i)
             if not p.anchors() and p.min_digits:
                 self.digits.append((p.min_digits, i))
 
@@ -230,22 +230,44 @@ def known(detectors: Sequence[Detector], threats: Sequence[Threat]) -> list[Dete
 
 # -- operators -----------------------------------------------------------------------
 
+def with_candidates(df: DataFrame, text: str, patterns: Iterable[Pattern], into: str) -> tuple[DataFrame, Prefilter]:
+    pre = Prefilter(patterns)
+    return df.withColumn(into, pre.column(F.col(text))), pre
+
+
+def review(df: DataFrame, text: str = "text", stage: str | Column = "prompt", *,
+           detectors: Sequence[Detector] = DETECTORS, threats: Sequence[Threat] = THREATS,
+           categories: Sequence[str] | None = None, rules: Sequence[ContentRule] = CONTENT_RULES) -> DataFrame:
+    """Threat findings and content hits after a single candidate pass over the text."""
+    can = "__review_can"
+    chosen = select(detectors, stage if isinstance(stage, str) else None)
+    work, pre = with_candidates(df, text, [p for r in (*chosen, *rules) for p in r.patterns], can)
+    work = scan(work, text, stage, detectors=chosen, threats=threats, shared=(pre, can))
+    return scan_content(work, text, categories, rules=rules, shared=(pre, can)).drop(can)
+
+
 def scan(df: DataFrame, text: str = "text", stage: str | Column = "prompt", *,
          detectors: Sequence[Detector] = DETECTORS, threats: Sequence[Threat] = THREATS,
-         into: str = "findings", prefilter: bool = True) -> DataFrame:
-    """Add ``into``: the ranked findings of each row's text."""
+         into: str = "findings", prefilter: bool = True, shared: tuple[Prefilter, str] | None = None) -> DataFrame:
+    """Add ``into``: the ranked findings of each row's text.
+
+    ``shared`` reuses a candidate column made by :func:`with_candidates`."""
     constant = isinstance(stage, str)
     rules = known(select(detectors, stage if constant else None), threats)
     if not rules:
         return df.withColumn(into, F.array().cast(FINDINGS_TYPE))
     can, raw, hit = f"__{into}_can", f"__{into}_raw", f"__{into}_hits"
-    pre = Prefilter(p for d in rules for p in d.patterns) if prefilter else None
-    work = df.withColumn(can, pre.column(F.col(text))) if prefilter else df
+    work, pre = df, None
+    if shared:
+        pre, can = shared
+    elif prefilter:
+        work, pre = with_candidates(df, text, [p for d in rules for p in d.patterns], can)
     cells = []
     for d in rules:
         cell = detector_match(F.col(text), d, pre, F.col(can))
         cells.append(cell if constant else F.when(_stage_test(d, stage), cell))
-    work = work.withColumn(raw, F.array(*cells)).drop(can)
+    work = work.withColumn(raw, F.array(*cells))
+    work = work if shared else work.drop(can)
     work = work.withColumn(hit, hits_from_matches(F.col(raw), rules)).drop(raw)
     found = F.when(F.size(hit) > 0, reduce_hits(F.col(hit), rules, threats))
     return work.withColumn(into, F.coalesce(found, F.array()).cast(FINDINGS_TYPE)).drop(hit)
@@ -268,16 +290,20 @@ def scan_for_index(df: DataFrame, text: str = "text", **kw) -> tuple[DataFrame,
 
 
 def scan_content(df: DataFrame, text: str = "text", categories: Sequence[str] | None = None, *,
-                 rules: Sequence[ContentRule] = CONTENT_RULES, into: str = "content_hits") -> DataFrame:
+                 rules: Sequence[ContentRule] = CONTENT_RULES, into: str = "content_hits",
+                 shared: tuple[Prefilter, str] | None = None) -> DataFrame:
     """Add ``into``: one hit per matching content rule in rule order, optionally an allow-set only."""
     chosen = [r for r in rules if categories is None or r.rule_id in set(categories)]
     empty = F.array().cast("array<struct<rule_id:string,label:string,severity:string,match:string>>")
     if not chosen:
         return df.withColumn(into, empty)
     can, raw = f"__{into}_can", f"__{into}_raw"
-    pre = Prefilter(p for r in chosen for p in r.patterns)
-    work = df.withColumn(can, pre.column(F.col(text)))
-    work = work.withColumn(raw, F.array(*[first_match(F.col(text), r.patterns, pre, F.col(can)) for r in chosen])).drop(can)
+    if shared:
+        (pre, can), work = shared, df
+    else:
+        work, pre = with_candidates(df, text, [p for r in chosen for p in r.patterns], can)
+    work = work.withColumn(raw, F.array(*[first_match(F.col(text), r.patterns, pre, F.col(can)) for r in chosen]))
+    work = work if shared else work.drop(can)
     ids, labels, sevs = (literal_array([getattr(r, a) for r in chosen], "string") for a in ("rule_id", "label", "severity"))
     hits = F.filter(F.transform(F.col(raw), lambda m, i: F.struct(
         F.get(ids, i).alias("rule_id"), F.get(labels, i).alias("label"),
