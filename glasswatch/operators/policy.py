@@ -170,6 +170,9 @@ def threat_table(spark) -> DataFrame:
 def threat_lookup(field: str, sql_type: str):
     """``threat_id`` -> catalogue field, as an expression (the catalogue is fixed and small)."""
     values = {t.threat_id: getattr(t, field) for t in THREATS}
-    top = max(values)
-    table = literal_array([values.get(i) for i in range(top + 1)], sql_type)
+    slots = [values.get(i) for i in range(max(values) + 1)]
+    if sql_type.startswith("array"):
+        table = F.array(*[literal_array(v or (), "string") for v in slots])
+    else:
+        table = literal_array(slots, sql_type)
     return lambda threat_id: F.get(table, threat_id)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glasswatch.functions import refine as refiners
 from glasswatch.functions.regex_dialect import Pattern
-from glasswatch.operators.scan import Prefilter, scan, scan_content, select
+from glasswatch.operators.scan import Prefilter, literal_array, review, sealed, select
 from glasswatch.rules.content import CONTENT_RULES
 from glasswatch.rules.detectors import DETECTORS
 from glasswatch.rules.model import Detector
@@ -51,10 +51,11 @@ def redact(df: DataFrame, text: str = "text", stage: str = "prompt", *,
     # Word edges may appear when a neighbour is masked, so only literals count here.
     pre = Prefilter((p for p, _ in steps), edges=False)
     always = [not _tag_independent(p) for p, _ in steps]
-    plan = F.array(*[F.struct(
-        F.lit(pre.number[p]).alias("n"), F.lit(free).alias("free"), F.lit(p.java()).alias("rx"),
-        F.lit(tag(d.threat_id)).alias("tag"), F.lit(d.refine or "").alias("refine"))
-        for (p, d), free in zip(steps, always)])
+    plan = F.arrays_zip(
+        literal_array([pre.number[p] for p, _ in steps], "int").alias("n"), literal_array(always, "boolean").alias("free"),
+        literal_array([p.java() for p, _ in steps], "string").alias("rx"),
+        literal_array([tag(d.threat_id) for _, d in steps], "string").alias("tag"),
+        literal_array([d.refine or "" for _, d in steps], "string").alias("refine"))
     names = sorted({d.refine for _, d in steps if d.refine})
     candidates = F.col(can)
 
@@ -67,11 +68,9 @@ def redact(df: DataFrame, text: str = "text", stage: str = "prompt", *,
         return out
 
     active = F.filter(plan, lambda s: s["free"] | F.array_contains(candidates, s["n"]))
-    ungated = any(not p.anchors() and not p.min_digits for p, _ in steps)
-    change = F.lit(True) if ungated else F.size(candidates) > 0
-    work = df.withColumn(can, pre.column(F.col(text)))
-    return work.withColumn(into, F.when(
-        change, F.aggregate(active, F.col(text), apply)).otherwise(F.col(text))).drop(can)
+    work = sealed(df, can, pre.column(F.col(text)))
+    return sealed(work, into, F.when(
+        F.size(candidates) > 0, F.aggregate(active, F.col(text), apply)).otherwise(F.col(text))).drop(can)
 
 
 def redact_literal(text: Column, spans: Column, mask: str = MASK) -> Column:
@@ -96,14 +95,12 @@ def salvageable(df: DataFrame, text: str, threat_action, content_action, *,
     second review finds nothing to hold; otherwise null.
 
     ``threat_action(finding)`` / ``content_action(hit)`` give the policy action as a Column."""
-    work = scan(df, text, "prompt", detectors=detectors, into="__f1")
-    work = scan_content(work, text, rules=content_rules, into="__c1")
-    work = work.withColumn("__spans", gated_spans(F.col("__f1"), F.col("__c1"), threat_action, content_action))
+    work = review(df, text, "prompt", detectors=detectors, rules=content_rules)
+    spans = gated_spans(F.col("findings"), F.col("content_hits"), threat_action, content_action)
+    work = work.select(*df.columns, spans.alias("__spans"))
     # Rows with nothing to hold need no second pass.
-    work = work.withColumn("__try", F.when(F.size("__spans") > 0, redact_literal(F.col(text), F.col("__spans"))))
-    work = scan(work, "__try", "prompt", detectors=detectors, into="__f2")
-    work = scan_content(work, "__try", rules=content_rules, into="__c2")
-    left = gated_spans(F.col("__f2"), F.col("__c2"), threat_action, content_action)
+    work = sealed(work, "__try", F.when(F.size("__spans") > 0, redact_literal(F.col(text), F.col("__spans")))).drop("__spans")
+    work = review(work, "__try", "prompt", detectors=detectors, rules=content_rules)
+    left = gated_spans(F.col("findings"), F.col("content_hits"), threat_action, content_action)
     return work.withColumn("salvaged", F.when(
-        (F.col("__try") != F.col(text)) & (F.size(left) == 0), F.col("__try"))).drop(
-        "__f1", "__c1", "__spans", "__try", "__f2", "__c2")
+        (F.col("__try") != F.col(text)) & (F.size(left) == 0), F.col("__try"))).select(*df.columns, "salvaged")

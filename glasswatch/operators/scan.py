@@ -1,12 +1,12 @@
 """Detection: ordered detectors over a text column, one ranked finding per threat.
 
-Everything happens inside the row.  A scan adds one projection per step and no
-exchange, so cost grows with the text read and key skew has no effect:
+Everything happens inside the row, without an exchange, so cost grows with the
+text read and key skew has no effect:
 
-1. ``first_match`` per detector -> ARRAY<STRING> (null where silent), every
-   regex behind a test for literals it cannot match without;
-2. hits -> STRUCT array (usually empty), threat and mode attached;
-3. dedupe by threat and rank, as array expressions on that short array.
+1. one Arrow pass names the patterns that can match a text at all;
+2. only those regexes run, in the JVM, as a fold over a short array of pattern
+   numbers - the plan stays small however many rules there are;
+3. the hits are deduped by threat and ranked as array expressions.
 """
 
 from __future__ import annotations
@@ -32,31 +32,57 @@ FINDINGS_TYPE = ("array<struct<threat_id:int,detector_id:string,mode:string,hint
 
 # -- one pattern / one detector ------------------------------------------------
 
+def literal_array(values, sql_type: str) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{sql_type}>")
+
+
+def sealed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` whose expression is evaluated once per row.
+
+    A filter on a derived column is pushed down by copying its expression, which
+    would run a text pass twice.  Producing the column by a one-row generator
+    stops such copies, while filters on the input columns still reach the source."""
+    tmp = f"{name}__"
+    return df.withColumn(tmp, value).select("*", F.inline(F.array(F.struct(F.col(tmp).alias(name))))).drop(tmp)
+
+
 class Prefilter:
     """Which patterns can match a row at all, decided in one pass over the text.
 
     An Arrow batch of texts goes through one Aho-Corasick automaton holding the
     anchors of every pattern; the row gets the numbers of the patterns whose
- X
+    anchor (or digit count) is present, in order.  A pattern with neither kind
+    of evidence is always listed.  The regexes themselves stay in the JVM.
     """
 
     def __init__(self, patterns: Iterable[Pattern], edges: bool = True):
-        self.number = {p: i for i, p in enumerate(dict.fromkeys(patterns))}
+        self.patterns = list(dict.fromkeys(patterns))
+        self.number = {p: i for i, p in enumerate(self.patterns)}
         self.owners: dict[tuple, list[int]] = {}
         self.digits: list[tuple[int, int]] = []
-        for p, i in self.number.items():
+        self.always: list[int] = []
+        for i, p in enumerate(self.patterns):
             for a in p.anchors() or ():
                 self.owners.setdefault(tuple(a) if edges else (a.literal, False, False), []).append(i)
-            if not p.anchors() and p.min_digits:
-                self.digits.append((p.min_digits, i))
+            if not p.anchors():
+                if p.min_digits:
+                    self.digits.append((p.min_digits, i))
+                else:
+                    self.always.append(i)
 
     def column(self, text: Column) -> Column:
-        return _candidate_udf(self.owners, sorted(self.digits))(text)
+        """ARRAY<INT> of candidate pattern numbers, ascending; empty for empty text."""
+        return _candidate_udf(self.owners, sorted(self.digits), self.always)(text)
+
+    def regexes(self) -> Column:
+        return literal_array([p.java() for p in self.patterns], "string")
 
-    def test(self, p: Pattern, candidates: Column) -> Column | None:
-        if p.anchors() or p.min_digits:
-            return F.array_contains(candidates, F.lit(self.number[p]))
-        return None
+    def present(self, text: Column, candidates: Column, patterns: Sequence[Pattern]) -> Column:
+        """Does any of ``patterns`` match?"""
+        numbers = literal_array([self.number[p] for p in patterns], "int")
+        table = self.regexes()
+        return F.exists(F.array_intersect(F.coalesce(candidates, F.array().cast("array<int>")), numbers),
+                        lambda n: F.regexp_like(text, F.get(table, n)))
 
 
 def _digit_counts(texts: pa.Array) -> np.ndarray:
@@ -73,7 +99,7 @@ def _digit_counts(texts: pa.Array) -> np.ndarray:
     return running[at[1:]] - running[at[:-1]]
 
 
-def _candidate_udf(owners: dict[tuple, list[int]], digits: list[tuple[int, int]]):
+def _candidate_udf(owners: dict[tuple, list[int]], digits: list[tuple[int, int]], always: list[int]):
     by_literal: dict[str, list] = {}
     for (literal, left, right), ids in owners.items():
         by_literal.setdefault(literal, []).append((left, right, ids))
@@ -99,7 +125,8 @@ def _candidate_udf(owners: dict[tuple, list[int]], digits: list[tuple[int, int]]
             return []
         # U+212A lower-cases to an ASCII letter but is no word character.
         low = text.replace("\u212a", "\u00e9").lower()
-        found = {i for need, i in digits if n_digits >= need} if n_digits else set()
+        found = set(always)
+        found.update(i for need, i in digits if n_digits >= need)
         for end, (size, rules) in machine.iter(low) if entries else ():
             for left, right, ids in rules:
                 start = end - size
@@ -119,43 +146,81 @@ def _candidate_udf(owners: dict[tuple, list[int]], digits: list[tuple[int, int]]
     return pick
 
 
-def _guard(p: Pattern, value: Column, pre: Prefilter | None, candidates: Column | None) -> Column:
-    test = pre.test(p, candidates) if pre is not None else None
-    return value if test is None else F.when(test, value)
-
-
 def pattern_match(text: Column, p: Pattern) -> Column:
     """Leftmost match, null when there is none."""
     found = F.regexp_extract(text, p.java(), 0)
-    if p.can_be_empty:
-        return F.when(text.rlike(p.java()), found)
-    return F.nullif(found, F.lit(""))
-
-
-def first_match(text: Column, patterns: Sequence[Pattern], pre: Prefilter | None = None,
-                candidates: Column | None = None) -> Column:
-    """First pattern in list order that matches; an empty match ends the search without a hit."""
-    found = F.coalesce(*[_guard(p, pattern_match(text, p), pre, candidates) for p in patterns])
-    return F.nullif(found, F.lit("")) if any(p.can_be_empty for p in patterns) else found
+    return F.when(text.rlike(p.java()), found) if p.can_be_empty else F.nullif(found, F.lit(""))
 
 
 def all_matches(text: Column, p: Pattern) -> Column:
     return F.regexp_extract_all(text, F.lit(p.java()), F.lit(0))
 
 
-def refined_match(text: Column, d: Detector, pre: Prefilter | None = None,
-                  candidates: Column | None = None) -> Column:
-    """First occurrence that passes the detector's predicate, pattern by pattern."""
-    accept = refiners.predicate(d.refine)
-    tries = [_guard(p, F.try_element_at(F.filter(all_matches(text, p), lambda m: accept(m)), F.lit(1)), pre, candidates)
-             for p in d.patterns]
-    return F.coalesce(*tries)
-
-
-def detector_match(text: Column, d: Detector, pre: Prefilter | None = None, candidates: Column | None = None) -> Column:
-    if d.refine:
-        return refined_match(text, d, pre, candidates)
-    return first_match(text, d.patterns, pre, candidates)
+class Matcher:
+    """First matches of ordered rules, each with ordered patterns, over candidate numbers.
+
+    A rule's first pattern in list order that matches decides; an empty match
+    ends the search without a hit.  A rule with a refinement takes the first
+    occurrence that passes, pattern by pattern."""
+
+    def __init__(self, rules: Sequence):
+        slots = [(i, p, getattr(r, "refine", None)) for i, r in enumerate(rules) for p in r.patterns]
+        self.pre = Prefilter(p for _, p, _ in slots)
+        # A pattern may serve several rules: number -> slots.
+        self.slot_rule = [i for i, _, _ in slots]
+        self.slot_pattern = [self.pre.number[p] for _, p, _ in slots]
+        self.slot_refine = [r or "" for _, _, r in slots]
+        self.slots_of = [[s for s, n in enumerate(self.slot_pattern) if n == i] for i in range(len(self.pre.patterns))]
+        self.may_be_empty = any(p.can_be_empty for _, p, _ in slots)
+
+    def _match(self, text: Column, regex: Column, refine: Column) -> Column:
+        found = F.call_function("regexp_extract", text, regex, F.lit(0))
+        found = F.when(F.regexp_like(text, regex), found) if self.may_be_empty else F.nullif(found, F.lit(""))
+        for name in sorted(set(self.slot_refine) - {""}):
+            accept = refiners.predicate(name)
+            passing = F.filter(F.regexp_extract_all(text, regex, F.lit(0)), lambda m: accept(m))
+            found = F.when(refine == name, F.try_element_at(passing, F.lit(1))).otherwise(found)
+        return found
+
+    def tried(self, text: Column, candidates: Column, keep=None) -> Column:
+        """ARRAY<STRUCT<s, r, m>>: slots that matched, in slot order (``m`` may be '')."""
+        slots_of = F.array(*[literal_array(x, "int") for x in self.slots_of])
+        rule, refine = literal_array(self.slot_rule, "int"), literal_array(self.slot_refine, "string")
+        pattern, table = literal_array(self.slot_pattern, "int"), self.pre.regexes()
+        slots = F.array_sort(F.flatten(F.transform(candidates, lambda n: F.get(slots_of, n))))
+        if keep is not None:
+            slots = F.filter(slots, lambda s: keep(F.get(rule, s)))
+        out = F.transform(slots, lambda s: F.struct(
+            s.alias("s"), F.get(rule, s).alias("r"),
+            self._match(text, F.get(table, F.get(pattern, s)), F.get(refine, s)).alias("m")))
+        return F.filter(out, lambda x: x["m"].isNotNull())
+
+    @staticmethod
+    def first_per_rule(tried: Column) -> Column:
+        """Keep each rule's first matching slot, dropping empty matches.  ``tried`` is a plain column."""
+        return F.filter(tried, lambda x: (x["m"] != "") & ~F.exists(
+            tried, lambda y: (y["r"] == x["r"]) & (y["s"] < x["s"])))
+
+
+def match_rules(df: DataFrame, text: str, rules: Sequence, into: str, keep=None) -> DataFrame:
+    """Add ``into``: ARRAY<STRUCT<s, r, m>>, one entry per matching rule, in rule order."""
+    can, tried = f"__{into}_can", f"__{into}_try"
+    matcher = Matcher(rules)
+    work = df.withColumn(can, matcher.pre.column(F.col(text)))
+    work = sealed(work, tried, matcher.tried(F.col(text), F.col(can), keep)).drop(can)
+    return work.withColumn(into, Matcher.first_per_rule(F.col(tried))).drop(tried)
+
+
+def first_match(df: DataFrame, text: str, patterns: Sequence[Pattern], into: str) -> DataFrame:
+    """Add ``into``: the first pattern's match in list order, null without one."""
+    rule = Detector("single", 0, tuple(patterns))
+    return detector_match(df, text, rule, into)
+
+
+def detector_match(df: DataFrame, text: str, rule: Detector, into: str) -> DataFrame:
+    """Add ``into``: the match of one detector, refinement included."""
+    work = match_rules(df, text, [rule], f"__{into}")
+    return work.withColumn(into, F.get(f"__{into}", F.lit(0))["m"]).drop(f"__{into}")
 
 
 # -- rule selection --------------------------------------------------------------
@@ -168,16 +233,14 @@ def select(detectors: Sequence[Detector], stage: str | None) -> list[Detector]:
     return [d for d in detectors if stage is None or in_stage(d, stage)]
 
 
-def _stage_test(d: Detector, stage: Column) -> Column:
-    return stage.isin([s for s in STAGES if in_stage(d, s)])
+def _stage_filter(detectors: Sequence[Detector], stage: Column):
+    """Rule number -> does it run in the row's stage?"""
+    places = F.array(*[literal_array([s for s in STAGES if in_stage(d, s)], "string") for d in detectors])
+    return lambda rule: F.array_contains(F.get(places, rule), stage)
 
 
 # -- array reduction ---------------------------------------------------------------
 
-def literal_array(values, sql_type: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{sql_type}>")
-
-
 def reduce_hits(hits: Column, detectors: Sequence[Detector], threats: Sequence[Threat], max_match: int = 48) -> Column:
     """Hits (``i``, ``t``, ``w``, ``m``) -> findings: last warn else first coach per
     threat, ordered by level, score, then where the threat was first seen.
@@ -213,13 +276,12 @@ def reduce_hits(hits: Column, detectors: Sequence[Detector], threats: Sequence[T
         F.get(categories, k["i"]).alias("category")))
 
 
-def hits_from_matches(matches: Column, detectors: Sequence[Detector]) -> Column:
-    """ARRAY<STRING> aligned with ``detectors`` -> array of non-null hits."""
+def as_hits(matches: Column, detectors: Sequence[Detector]) -> Column:
+    """Rule matches (``r``, ``m``) -> hits with threat and mode attached."""
     tids = literal_array([d.threat_id for d in detectors], "int")
     warn = literal_array([d.mode == "warn" for d in detectors], "boolean")
-    return F.filter(F.transform(matches, lambda m, i: F.struct(
-        i.alias("i"), F.get(tids, i).alias("t"), F.get(warn, i).alias("w"), m.alias("m"))),
-        lambda h: h["m"].isNotNull())
+    return F.transform(matches, lambda x: F.struct(
+        x["r"].alias("i"), F.get(tids, x["r"]).alias("t"), F.get(warn, x["r"]).alias("w"), x["m"].alias("m")))
 
 
 def known(detectors: Sequence[Detector], threats: Sequence[Threat]) -> list[Detector]:
@@ -230,52 +292,49 @@ def known(detectors: Sequence[Detector], threats: Sequence[Threat]) -> list[Dete
 
 # -- operators -----------------------------------------------------------------------
 
-def with_candidates(df: DataFrame, text: str, patterns: Iterable[Pattern], into: str) -> tuple[DataFrame, Prefilter]:
-    pre = Prefilter(patterns)
-    return df.withColumn(into, pre.column(F.col(text))), pre
-
-
-def review(df: DataFrame, text: str = "text", stage: str | Column = "prompt", *,
-           detectors: Sequence[Detector] = DETECTORS, threats: Sequence[Threat] = THREATS,
-           categories: Sequence[str] | None = None, rules: Sequence[ContentRule] = CONTENT_RULES) -> DataFrame:
-    """Threat findings and content hits after a single candidate pass over the text."""
-    can = "__review_can"
-    chosen = select(detectors, stage if isinstance(stage, str) else None)
-    work, pre = with_candidates(df, text, [p for r in (*chosen, *rules) for p in r.patterns], can)
-    work = scan(work, text, stage, detectors=chosen, threats=threats, shared=(pre, can))
-    return scan_content(work, text, categories, rules=rules, shared=(pre, can)).drop(can)
+def findings_of(matches: str, detectors: Sequence[Detector], threats: Sequence[Threat], df: DataFrame, into: str) -> DataFrame:
+    """Matches column -> ranked findings column ``into``; ``matches`` is dropped."""
+    hit = f"__{into}_hits"
+    work = df.withColumn(hit, as_hits(F.col(matches), detectors)).drop(matches)
+    found = F.when(F.size(hit) > 0, reduce_hits(F.col(hit), detectors, threats))
+    return work.withColumn(into, F.coalesce(found, F.array().cast(FINDINGS_TYPE)).cast(FINDINGS_TYPE)).drop(hit)
 
 
 def scan(df: DataFrame, text: str = "text", stage: str | Column = "prompt", *,
          detectors: Sequence[Detector] = DETECTORS, threats: Sequence[Threat] = THREATS,
-         into: str = "findings", prefilter: bool = True, shared: tuple[Prefilter, str] | None = None) -> DataFrame:
-    """Add ``into``: the ranked findings of each row's text.
-
-    ``shared`` reuses a candidate column made by :func:`with_candidates`."""
+         into: str = "findings") -> DataFrame:
+    """Add ``into``: the ranked findings of each row's text."""
     constant = isinstance(stage, str)
     rules = known(select(detectors, stage if constant else None), threats)
     if not rules:
         return df.withColumn(into, F.array().cast(FINDINGS_TYPE))
-    can, raw, hit = f"__{into}_can", f"__{into}_raw", f"__{into}_hits"
-    work, pre = df, None
-    if shared:
-        pre, can = shared
-    elif prefilter:
-        work, pre = with_candidates(df, text, [p for d in rules for p in d.patterns], can)
-    cells = []
-    for d in rules:
-        cell = detector_match(F.col(text), d, pre, F.col(can))
-        cells.append(cell if constant else F.when(_stage_test(d, stage), cell))
-    work = work.withColumn(raw, F.array(*cells))
-    work = work if shared else work.drop(can)
-    work = work.withColumn(hit, hits_from_matches(F.col(raw), rules)).drop(raw)
-    found = F.when(F.size(hit) > 0, reduce_hits(F.col(hit), rules, threats))
-    return work.withColumn(into, F.coalesce(found, F.array()).cast(FINDINGS_TYPE)).drop(hit)
+    raw = f"__{into}_raw"
+    work = match_rules(df, text, rules, raw, None if constant else _stage_filter(rules, stage))
+    return findings_of(raw, rules, threats, work, into)
+
+
+def review(df: DataFrame, text: str = "text", stage: str | Column = "prompt", *,
+           detectors: Sequence[Detector] = DETECTORS, threats: Sequence[Threat] = THREATS,
+           rules: Sequence[ContentRule] = CONTENT_RULES) -> DataFrame:
+    """Threat findings and content hits from a single pass over the text."""
+    constant = isinstance(stage, str)
+    dets = known(select(detectors, stage if constant else None), threats)
+    both, n = [*dets, *rules], len(dets)
+    keep = None
+    if not constant:
+        in_place = _stage_filter(dets, stage)
+        keep = lambda r: (r >= n) | in_place(r)
+    work = match_rules(df, text, both, "__both", keep)
+    work = work.withColumn("__det", F.filter("__both", lambda x: x["r"] < n)) \
+        .withColumn("__con", F.filter("__both", lambda x: x["r"] >= n)).drop("__both")
+    work = findings_of("__det", dets, threats, work, "findings")
+    return work.withColumn("content_hits", content_hits(F.col("__con"), rules, n)).drop("__con")
 
 
 def explode_findings(df: DataFrame, keys: Sequence[str], findings: str = "findings") -> DataFrame:
     """One row per finding with its 1-based rank (the table-function shape)."""
-    return (df.select(*keys, F.posexplode(findings).alias("rank", "f"))
+    # The outer form keeps the optimizer from copying the whole scan into a pushed-down filter.
+    return (df.select(*keys, F.posexplode_outer(findings).alias("rank", "f")).where(F.col("rank").isNotNull())
               .select(*keys, (F.col("rank") + 1).alias("rank"), "f.*"))
 
 
@@ -289,23 +348,23 @@ def scan_for_index(df: DataFrame, text: str = "text", **kw) -> tuple[DataFrame,
     return done.where(F.size("findings") == 0).drop("findings"), done.where(F.size("findings") > 0)
 
 
+CONTENT_TYPE = "array<struct<rule_id:string,label:string,severity:string,match:string>>"
+
+
+def content_hits(matches: Column, rules: Sequence[ContentRule], offset: int = 0) -> Column:
+    ids, labels, sevs = (literal_array([getattr(r, a) for r in rules], "string") for a in ("rule_id", "label", "severity"))
+    out = F.transform(matches, lambda x: F.struct(
+        F.get(ids, x["r"] - offset).alias("rule_id"), F.get(labels, x["r"] - offset).alias("label"),
+        F.get(sevs, x["r"] - offset).alias("severity"), clip(x["m"]).alias("match")))
+    return F.coalesce(out, F.array().cast(CONTENT_TYPE)).cast(CONTENT_TYPE)
+
+
 def scan_content(df: DataFrame, text: str = "text", categories: Sequence[str] | None = None, *,
-                 rules: Sequence[ContentRule] = CONTENT_RULES, into: str = "content_hits",
-                 shared: tuple[Prefilter, str] | None = None) -> DataFrame:
+                 rules: Sequence[ContentRule] = CONTENT_RULES, into: str = "content_hits") -> DataFrame:
     """Add ``into``: one hit per matching content rule in rule order, optionally an allow-set only."""
     chosen = [r for r in rules if categories is None or r.rule_id in set(categories)]
-    empty = F.array().cast("array<struct<rule_id:string,label:string,severity:string,match:string>>")
     if not chosen:
-        return df.withColumn(into, empty)
-    can, raw = f"__{into}_can", f"__{into}_raw"
-    if shared:
-        (pre, can), work = shared, df
-    else:
-        work, pre = with_candidates(df, text, [p for r in chosen for p in r.patterns], can)
-    work = work.withColumn(raw, F.array(*[first_match(F.col(text), r.patterns, pre, F.col(can)) for r in chosen]))
-    work = work if shared else work.drop(can)
-    ids, labels, sevs = (literal_array([getattr(r, a) for r in chosen], "string") for a in ("rule_id", "label", "severity"))
-    hits = F.filter(F.transform(F.col(raw), lambda m, i: F.struct(
-        F.get(ids, i).alias("rule_id"), F.get(labels, i).alias("label"),
-        F.get(sevs, i).alias("severity"), clip(m).alias("match"))), lambda h: h["match"].isNotNull())
-    return work.withColumn(into, F.coalesce(hits, empty)).drop(raw)
+        return df.withColumn(into, F.array().cast(CONTENT_TYPE))
+    raw = f"__{into}_raw"
+    work = match_rules(df, text, chosen, raw)
+    return work.withColumn(into, content_hits(F.col(raw), chosen)).drop(raw)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasswatch.functions.text import is_blank
-from glasswatch.operators.scan import (FINDINGS_TYPE, Prefilter, first_match, hits_from_matches, known, reduce_hits)
+from glasswatch.operators.scan import FINDINGS_TYPE, Prefilter, as_hits, known, match_rules, reduce_hits
 from glasswatch.plans.skew import running_sum, trailing_rows
 from glasswatch.rules.catalog import THREATS
 from glasswatch.rules.detectors import DETECTORS, INJECTION_PREFIX, PERSISTENCE_DETECTOR, PERSISTENCE_THREAT
@@ -29,11 +29,8 @@ def session_detectors(detectors: Sequence[Detector]) -> list[Detector]:
 
 def turn_flag(df: DataFrame, text: str, into: str, detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
     """1 where a single turn already matches an injection detector, else 0."""
-    rules = injection_detectors(detectors)
-    pre = Prefilter(p for d in rules for p in d.patterns)
-    work = df.withColumn("__fc", pre.column(F.col(text)))
-    hit = F.coalesce(*[first_match(F.col(text), d.patterns, pre, F.col("__fc")) for d in rules])
-    return work.withColumn(into, hit.isNotNull().cast("int")).drop("__fc")
+    work = match_rules(df, text, injection_detectors(detectors), "__inj")
+    return work.withColumn(into, F.coalesce((F.size("__inj") > 0).cast("int"), F.lit(0))).drop("__inj")
 
 
 def scan_joined(df: DataFrame, joined: str, flagged: str, n_turns: str, *, into: str = "findings",
@@ -41,17 +38,16 @@ def scan_joined(df: DataFrame, joined: str, flagged: str, n_turns: str, *, into:
     """Findings of a joined window: plain first matches (no refinement), then the
     persistence finding, which as a late warn represents its threat."""
     rules = known(session_detectors(detectors), threats)
-    can = f"__{into}_can"
-    pre = Prefilter(p for d in rules for p in d.patterns)
-    work = df.withColumn(can, pre.column(F.col(joined)))
     persistent = Detector(PERSISTENCE_DETECTOR, PERSISTENCE_THREAT, (), hint="")
-    count = F.col(flagged).cast("string")
-    cells = [first_match(F.col(joined), d.patterns, pre, F.col(can)) for d in rules]
-    cells.append(F.when(F.col(flagged) >= 2, F.concat(count, F.lit(" turns"))))
     all_rules = known([*rules, persistent], threats)
-    cells = cells[:len(all_rules)]
-    work = work.withColumn("__raw", F.array(*cells)).drop(can)
-    work = work.withColumn("__hits", hits_from_matches(F.col("__raw"), all_rules)).drop("__raw")
+    count = F.col(flagged).cast("string")
+    work = match_rules(df, joined, rules, "__raw")
+    matches = F.col("__raw")
+    if len(all_rules) > len(rules):
+        last = F.struct(F.lit(1 << 20).alias("s"), F.lit(len(rules)).alias("r"), F.concat(count, F.lit(" turns")).alias("m"))
+        matches = F.concat(matches, F.when(F.col(flagged) >= 2, F.array(last)).otherwise(
+            F.array().cast("array<struct<s:int,r:int,m:string>>")))
+    work = work.withColumn("__hits", as_hits(matches, all_rules)).drop("__raw")
     found = F.when((F.col(n_turns) >= 2) & (F.size("__hits") > 0), reduce_hits(F.col("__hits"), all_rules, threats))
     work = work.withColumn("__found", F.coalesce(found, F.array()).cast(FINDINGS_TYPE)).drop("__hits")
     hint = F.concat(F.lit("Injection attempts repeat in "), count, F.lit(" turns."))
@@ -94,14 +90,8 @@ def scan_turn_arrays(df: DataFrame, turns: str = "turns", *, window: int = WINDO
     kept = F.filter(F.coalesce(F.col(turns), F.array().cast("array<string>")), lambda t: ~is_blank(t))
     size = F.size(kept)
     recent = F.slice(kept, F.greatest(size - window + 1, F.lit(1)), F.lit(window))
-    rules = injection_detectors(detectors)
-
-    def flagged(t):
-        test = F.lit(False)
-        for d in rules:
-            for p in d.patterns:
-                test = test | t.rlike(p.java())
-        return test
+    table = Prefilter(p for d in injection_detectors(detectors) for p in d.patterns).regexes()
+    flagged = lambda t: F.exists(table, lambda rx: F.regexp_like(t, rx))
 
     work = df.withColumn("__recent", recent)
     work = work.withColumn("__n", F.size("__recent")).withColumn("__joined", F.array_join("__recent", "\n")) \

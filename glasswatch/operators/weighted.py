@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glasswatch.functions.regex_dialect import Pattern
 from glasswatch.operators.policy import threat_lookup
-from glasswatch.operators.scan import Prefilter, all_matches
+from glasswatch.operators.scan import Prefilter, all_matches, sealed
 from glasswatch.plans.skew import salted_join
 from glasswatch.rules.weighted import (CODE_PATTERNS, ENTITY_PATTERNS, RULE_VERSION, SHORTENER_HOSTS, WEIGHTED,
                                        Signal, WeightedDetector)
@@ -49,28 +49,16 @@ def shortened(text: Column) -> Column:
     return F.exists(all_matches(text, _LINK), lambda u: _bare(url_host(u)).isin(*SHORTENER_HOSTS))
 
 
-def _any(text: Column, patterns: Sequence[Pattern], pre: Prefilter, candidates: Column) -> Column:
-    test = None
-    for p in patterns:
-        gate = pre.test(p, candidates)
-        hit = text.rlike(p.java())
-        hit = hit if gate is None else gate & hit
-        test = hit if test is None else test | hit
-    return F.coalesce(test, F.lit(False))
-
-
 def entity_present(kind: str, text: Column, pre: Prefilter, candidates: Column) -> Column:
+    """Is an entity of the kind in the text?  Card numbers must also pass the check digit."""
     if kind == "ANY_PII":
-        out = F.lit(False)
-        for name in ENTITY_PATTERNS:
-            out = out | entity_present(name, text, pre, candidates)
-        return out
+        plain = [p for n, ps in ENTITY_PATTERNS.items() if n != "CREDIT_CARD" for p in ps]
+        return pre.present(text, candidates, plain) | entity_present("CREDIT_CARD", text, pre, candidates)
     if kind == "CREDIT_CARD":
         p = ENTITY_PATTERNS[kind][0]
         valid = F.exists(all_matches(text, p), lambda m: F.luhn_check(F.regexp_replace(m, r"\D", "")))
-        gate = pre.test(p, candidates)
-        return F.coalesce(valid if gate is None else gate & valid, F.lit(False))
-    return _any(text, ENTITY_PATTERNS[kind], pre, candidates)
+        return F.coalesce(F.array_contains(candidates, F.lit(pre.number[p])) & valid, F.lit(False))
+    return pre.present(text, candidates, ENTITY_PATTERNS[kind])
 
 
 def _signal_patterns(s: Signal) -> list[Pattern]:
@@ -93,19 +81,19 @@ def score_events(events: DataFrame, *, key: str = "event_id", detectors: Sequenc
     have = set(events.columns)
     used = [s for d in detectors for s in d.signals]
     text_pre = Prefilter(p for s in used if s.scope == "text" for p in _signal_patterns(s))
-    work = events.withColumn("__can", text_pre.column(F.col("text")))
+    work = sealed(events, "__can", text_pre.column(F.col("text")))
     name_pre = Prefilter(p for s in used if s.scope == "filename" for p in _signal_patterns(s))
     if "filename" in have:
-        work = work.withColumn("__ncan", name_pre.column(F.col("filename")))
+        work = sealed(work, "__ncan", name_pre.column(F.col("filename")))
 
     def fired(s: Signal) -> Column:
         if s.scope == "filename":
-            return _any(F.col("filename"), s.patterns, name_pre, F.col("__ncan")) if "filename" in have else F.lit(False)
+            return name_pre.present(F.col("filename"), F.col("__ncan"), s.patterns) if "filename" in have else F.lit(False)
         text, can = F.col("text"), F.col("__can")
         if s.kind == "entity":
             return entity_present(s.name, text, text_pre, can)
         if s.kind == "code":
-            return _any(text, CODE_PATTERNS[s.name], text_pre, can)
+            return text_pre.present(text, can, CODE_PATTERNS[s.name])
         if s.kind == "url":
             if s.name == "SHORTENER":
                 return F.coalesce(shortened(text), F.lit(False))
@@ -121,10 +109,10 @@ def score_events(events: DataFrame, *, key: str = "event_id", detectors: Sequenc
             return F.coalesce(~F.col("tool").isin(*approved_tools), F.lit(False))
         if s.kind == "heuristic":
             return F.coalesce(F.col("foreign_tag"), F.lit(False)) if "foreign_tag" in have else F.lit(False)
-        return _any(text, s.patterns, text_pre, can)
+        return text_pre.present(text, can, s.patterns)
 
     def score(s: Signal) -> Column:
-        return F.when(fired(s), F.lit(s.weight)).otherwise(F.lit(Decimal("0.00"))).cast(_DEC)
+        return F.when(F.coalesce(fired(s), F.lit(False)), F.lit(s.weight)).otherwise(F.lit(Decimal("0.00"))).cast(_DEC)
 
     cells = []
     for d in detectors:
