@@ -42,7 +42,7 @@ def strong_secret(match: Column, allow_sha: str = "always") -> Column:
 _REGISTRY: dict[str, Callable[[Column], Column]] = {
     "strong_secret": strong_secret,
     "strong_secret_or_sha": lambda m: strong_secret(m, "bare"),
-    "luhn": lambda m: F.luhn_check(F.regexp_replace(m, r"\D", "")),
+    "luhn": lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"\D", "")),
 }
 
 

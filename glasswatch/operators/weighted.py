@@ -56,7 +56,7 @@ def entity_present(kind: str, text: Column, pre: Prefilter, candidates: Column)
         return pre.present(text, candidates, plain) | entity_present("CREDIT_CARD", text, pre, candidates)
     if kind == "CREDIT_CARD":
         p = ENTITY_PATTERNS[kind][0]
-        valid = F.exists(all_matches(text, p), lambda m: F.luhn_check(F.regexp_replace(m, r"\D", "")))
+        valid = F.exists(all_matches(text, p), lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"\D", "")))
         return F.coalesce(F.array_contains(candidates, F.lit(pre.number[p])) & valid, F.lit(False))
     return pre.present(text, candidates, ENTITY_PATTERNS[kind])
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def asof_join(events: DataFrame, versions: DataFrame, on: str, ts: str = "ts", valid_from: str = "valid_from",
               value: str = "policy", bucket_seconds: int = 3600) -> DataFrame:
     """Add ``value`` of the version with the greatest ``valid_from <= ts``; null when there is none."""
-    bucket = lambda c: F.floor(F.unix_micros(c) / (bucket_seconds * 1_000_000)).cast("long")
+    bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (bucket_seconds * 1_000_000)).cast("long")
     vs = versions.select(F.col(on).alias("__k"), bucket(F.col(valid_from)).alias("__b"), F.col(valid_from).alias("__t"),
                          F.struct(F.col(value).alias("v")).alias("__v"))
     ev = events.select(F.col(on).alias("__k"), bucket(F.col(ts)).alias("__b"), F.col(ts).alias("__t"),

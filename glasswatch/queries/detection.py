@@ -70,12 +70,10 @@ def scan_turns(spark, sf):
        "max(CASE WHEN f.rank = 1 THEN f.detector_id END) AS top_detector FROM pages p LEFT JOIN findings f ON p.page_id = f.page_id "
        "GROUP BY p.page_id, p.url")
 def index_quarantine(spark, sf):
-    clean, held = S.scan_for_index(table(spark, sf, "pages"), "html")
-    none = F.lit(None).cast("string")
-    return (held.select("page_id", "url", F.size("findings").alias("n_findings"), F.lit(True).alias("quarantined"),
-                        F.get("findings", F.lit(0))["detector_id"].alias("top_detector"))
-            .unionByName(clean.select("page_id", "url", F.lit(0).alias("n_findings"), F.lit(False).alias("quarantined"),
-                                      none.alias("top_detector"))))
+    # One pass; scan_for_index splits the same result in two tables.
+    done = S.scan(table(spark, sf, "pages"), "html", "index")
+    return done.select("page_id", "url", F.size("findings").alias("n_findings"), (F.size("findings") > 0).alias("quarantined"),
+                       F.get("findings", F.lit(0))["detector_id"].alias("top_detector"))
 
 
 @query("content_hits_seeded",
