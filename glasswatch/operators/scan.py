@@ -77,12 +77,13 @@ class Prefilter:
     def regexes(self) -> Column:
         return literal_array([p.java() for p in self.patterns], "string")
 
-    def present(self, text: Column, candidates: Column, patterns: Sequence[Pattern]) -> Column:
-        """Does any of ``patterns`` match?"""
-        numbers = literal_array([self.number[p] for p in patterns], "int")
+    def matched(self, text: Column, candidates: Column) -> Column:
+        """ARRAY<INT> of the candidate patterns that really match."""
         table = self.regexes()
-        return F.exists(F.array_intersect(F.coalesce(candidates, F.array().cast("array<int>")), numbers),
-                        lambda n: F.regexp_like(text, F.get(table, n)))
+        return F.filter(candidates, lambda n: F.regexp_like(text, F.get(table, n)))
+
+    def numbers(self, patterns: Iterable[Pattern]) -> Column:
+        return literal_array([self.number[p] for p in patterns], "int")
 
 
 def _digit_counts(texts: pa.Array) -> np.ndarray:

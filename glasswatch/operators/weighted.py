@@ -49,16 +49,16 @@ def shortened(text: Column) -> Column:
     return F.exists(all_matches(text, _LINK), lambda u: _bare(url_host(u)).isin(*SHORTENER_HOSTS))
 
 
-def entity_present(kind: str, text: Column, pre: Prefilter, candidates: Column) -> Column:
+def entity_present(kind: str, text: Column, pre: Prefilter, matched: Column) -> Column:
     """Is an entity of the kind in the text?  Card numbers must also pass the check digit."""
     if kind == "ANY_PII":
         plain = [p for n, ps in ENTITY_PATTERNS.items() if n != "CREDIT_CARD" for p in ps]
-        return pre.present(text, candidates, plain) | entity_present("CREDIT_CARD", text, pre, candidates)
+        return F.arrays_overlap(matched, pre.numbers(plain)) | entity_present("CREDIT_CARD", text, pre, matched)
     if kind == "CREDIT_CARD":
         p = ENTITY_PATTERNS[kind][0]
         valid = F.exists(all_matches(text, p), lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"\D", "")))
-        return F.coalesce(F.array_contains(candidates, F.lit(pre.number[p])) & valid, F.lit(False))
-    return pre.present(text, candidates, ENTITY_PATTERNS[kind])
+        return F.array_contains(matched, F.lit(pre.number[p])) & valid
+    return F.arrays_overlap(matched, pre.numbers(ENTITY_PATTERNS[kind]))
 
 
 def _signal_patterns(s: Signal) -> list[Pattern]:
@@ -81,19 +81,21 @@ def score_events(events: DataFrame, *, key: str = "event_id", detectors: Sequenc
     have = set(events.columns)
     used = [s for d in detectors for s in d.signals]
     text_pre = Prefilter(p for s in used if s.scope == "text" for p in _signal_patterns(s))
-    work = sealed(events, "__can", text_pre.column(F.col("text")))
+    work = events.withColumn("__tc", text_pre.column(F.col("text")))
+    work = sealed(work, "__can", text_pre.matched(F.col("text"), F.col("__tc"))).drop("__tc")
     name_pre = Prefilter(p for s in used if s.scope == "filename" for p in _signal_patterns(s))
     if "filename" in have:
-        work = sealed(work, "__ncan", name_pre.column(F.col("filename")))
+        work = work.withColumn("__fc", name_pre.column(F.col("filename")))
+        work = sealed(work, "__ncan", name_pre.matched(F.col("filename"), F.col("__fc"))).drop("__fc")
 
     def fired(s: Signal) -> Column:
         if s.scope == "filename":
-            return name_pre.present(F.col("filename"), F.col("__ncan"), s.patterns) if "filename" in have else F.lit(False)
+            return F.arrays_overlap("__ncan", name_pre.numbers(s.patterns)) if "filename" in have else F.lit(False)
         text, can = F.col("text"), F.col("__can")
         if s.kind == "entity":
             return entity_present(s.name, text, text_pre, can)
         if s.kind == "code":
-            return text_pre.present(text, can, CODE_PATTERNS[s.name])
+            return F.arrays_overlap(can, text_pre.numbers(CODE_PATTERNS[s.name]))
         if s.kind == "url":
             if s.name == "SHORTENER":
                 return F.coalesce(shortened(text), F.lit(False))
@@ -109,7 +111,7 @@ def score_events(events: DataFrame, *, key: str = "event_id", detectors: Sequenc
             return F.coalesce(~F.col("tool").isin(*approved_tools), F.lit(False))
         if s.kind == "heuristic":
             return F.coalesce(F.col("foreign_tag"), F.lit(False)) if "foreign_tag" in have else F.lit(False)
-        return text_pre.present(text, can, s.patterns)
+        return F.arrays_overlap(can, text_pre.numbers(s.patterns))
 
     def score(s: Signal) -> Column:
         return F.when(F.coalesce(fired(s), F.lit(False)), F.lit(s.weight)).otherwise(F.lit(Decimal("0.00"))).cast(_DEC)

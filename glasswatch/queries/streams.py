@@ -1,0 +1,103 @@
+"""Structured Streaming runs over the tables; each must equal its batch twin."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glasswatch.operators import scan as S
+from glasswatch.operators.policy import decide
+from glasswatch.queries import SQL, query
+from glasswatch.queries import detection, fleet, policy, sessions
+from glasswatch.queries.samples import PHRASES
+from glasswatch.streaming import alerts as SA
+from glasswatch.streaming import state as ST
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared checkpoint space; a temporary one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    return f"{base.rstrip('/')}/glasswatch-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="glasswatch-")
+
+
+def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there now and read back what it wrote."""
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out") \
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("stream_scan_prompts", SQL["scan_seeded_prompts"])
+def stream_scan(spark, sf):
+    docs = source(spark, sf, "documents")
+    text = F.concat("text", F.lit("\n"), F.get(S.literal_array(PHRASES, "string"), (F.col("doc_id") % len(PHRASES)).cast("int")))
+    rows = S.scan_rows(docs.select("doc_id", text.alias("text")), ["doc_id"]).select("doc_id", *detection._FIELDS)
+    return drain(rows, work_folder(spark))
+
+
+@query("stream_decisions", SQL["decide_prompts"])
+def stream_decisions(spark, sf):
+    docs = source(spark, sf, "documents")
+    text = F.concat("text", F.lit("\n"), F.get(S.literal_array(PHRASES, "string"), (F.col("doc_id") % len(PHRASES)).cast("int")))
+    calls = docs.select("doc_id", text.alias("text"), (F.col("doc_id") % 27).cast("int").alias("tenant"))
+    done = decide(calls.join(policy.policies(spark, sf), "tenant", "left"))
+    return drain(done.select("doc_id", "tenant", "decision", F.array_join("reasons", "; ").alias("reasons"),
+                             F.size("reported").alias("n_reported")), work_folder(spark))
+
+
+def _turn_stream(spark, sf):
+    phrases = S.literal_array(sessions.SESSION_PHRASES, "string")
+    n = len(sessions.SESSION_PHRASES)
+    phrase = F.get(phrases, ((F.col("conv_id") * 3 + F.col("turn")) % n).cast("int"))
+    return source(spark, sf, "conversations").where("role = 'user'").select(
+        "conv_id", "turn", F.when(phrase == sessions.SESSION_PHRASES[5], phrase).otherwise(
+            F.concat(phrase, F.lit(" "), "text")).alias("text"))
+
+
+@query("stream_sessions", SQL["session_window_6"])
+def stream_sessions(spark, sf):
+    return drain(sessions._rows(ST.session_stream(_turn_stream(spark, sf))), work_folder(spark))
+
+
+@query("stream_output_lines", SQL["output_lines"])
+def stream_output_lines(spark, sf):
+    w = sessions._WIDTH
+    t = source(spark, sf, "conversations").where("role = 'assistant'").withColumn(
+        "text", F.concat(F.lit("\u001b[1m"), "text", F.lit("\u001b[0m\n")))
+    at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / w).cast("int"))
+    chunks = t.select(F.col("conv_id").alias("session_id"), "turn", "text", F.explode(at).alias("i")).select(
+        "session_id", (F.col("turn") * 100000 + F.col("i")).alias("seq"), F.substr("text", F.col("i") * w + 1, F.lit(w)).alias("chunk"))
+    return drain(ST.line_stream(chunks).select("session_id", "unit", F.md5("text").alias("text_md5")), work_folder(spark))
+
+
+def _alert_stream(spark, sf):
+    e = F.expr
+    return source(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("device"),
+        e(fleet._THREAT).alias("threat_id"), e(fleet._RISK).alias("risk_level"))
+
+
+@query("stream_alert_counts")
+def stream_alert_counts(spark, sf):
+    """Closed hourly windows; the last ones stay open until the watermark passes them."""
+    counts = SA.alert_counts(_alert_stream(spark, sf), ["risk_level"])
+    out = drain(counts, work_folder(spark))
+    return fleet._stamp(out, "window_start", "window_end")
+
+
+@query("stream_alerts_deduplicated",
+       f"WITH {fleet._ALERTS} SELECT risk_level, count(*) AS alerts FROM (SELECT DISTINCT device, threat_id, ts, risk_level FROM al) GROUP BY ALL")
+def stream_alerts_deduplicated(spark, sf):
+    al = _alert_stream(spark, sf)
+    twice = al.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    once = SA.deduplicate(twice, ["device", "threat_id", "ts", "risk_level"])
+    return drain(once.select("device", "risk_level"), work_folder(spark)).groupBy("risk_level").agg(F.count(F.lit(1)).alias("alerts"))

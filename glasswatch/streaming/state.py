@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glasswatch.functions.text import is_blank, strip_ansi
 from glasswatch.operators.output_lines import KEEP, LIMIT
+from glasswatch.operators.scan import sealed
 from glasswatch.operators.sessions import WINDOW, scan_joined, turn_flag
 
 
@@ -80,5 +81,7 @@ def session_stream(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
         step, f"{conv} {kinds[conv]}, {turn} {kinds[turn]}, n_turns int, flagged_turns long, joined string",
         "texts array<string>, flags array<int>", "append",
         GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
-    return scan_joined(joined, "joined", "flagged_turns", "n_turns", **rules).drop("joined").withColumn(
+    # Stateful output rows are plain objects; the generator lays them out for the Arrow pass.
+    joined = sealed(joined, "window_text", F.col("joined")).drop("joined")
+    return scan_joined(joined, "window_text", "flagged_turns", "n_turns", **rules).drop("window_text").withColumn(
         "multi_turn", F.lit(True))
