@@ -32,8 +32,21 @@ FINDINGS_TYPE = ("array<struct<threat_id:int,detector_id:string,mode:string,hint
 
 # -- one pattern / one detector ------------------------------------------------
 
+def sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, (list, tuple)):
+        return "array(" + ",".join(map(sql_literal, value)) + ")"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_array(values, sql_type: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{sql_type}>")
+    """A constant array, sent to the JVM as one expression (a call per element is slow)."""
+    return F.expr(f"CAST({sql_literal(list(values))} AS array<{sql_type}>)")
 
 
 def sealed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -185,7 +198,7 @@ class Matcher:
 
     def tried(self, text: Column, candidates: Column, keep=None) -> Column:
         """ARRAY<STRUCT<s, r, m>>: slots that matched, in slot order (``m`` may be '')."""
-        slots_of = F.array(*[literal_array(x, "int") for x in self.slots_of])
+        slots_of = literal_array(self.slots_of, "array<int>")
         rule, refine = literal_array(self.slot_rule, "int"), literal_array(self.slot_refine, "string")
         pattern, table = literal_array(self.slot_pattern, "int"), self.pre.regexes()
         slots = F.array_sort(F.flatten(F.transform(candidates, lambda n: F.get(slots_of, n))))
@@ -236,7 +249,7 @@ def select(detectors: Sequence[Detector], stage: str | None) -> list[Detector]:
 
 def _stage_filter(detectors: Sequence[Detector], stage: Column):
     """Rule number -> does it run in the row's stage?"""
-    places = F.array(*[literal_array([s for s in STAGES if in_stage(d, s)], "string") for d in detectors])
+    places = literal_array([[s for s in STAGES if in_stage(d, s)] for d in detectors], "array<string>")
     return lambda rule: F.array_contains(F.get(places, rule), stage)
 
 

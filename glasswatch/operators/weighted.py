@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glasswatch.functions.regex_dialect import Pattern
 from glasswatch.operators.policy import threat_lookup
-from glasswatch.operators.scan import Prefilter, all_matches, sealed
+from glasswatch.operators.scan import Prefilter, sql_literal, all_matches, literal_array, sealed
 from glasswatch.plans.skew import salted_join
 from glasswatch.rules.weighted import (CODE_PATTERNS, ENTITY_PATTERNS, RULE_VERSION, SHORTENER_HOSTS, WEIGHTED,
                                        Signal, WeightedDetector)
@@ -49,27 +49,41 @@ def shortened(text: Column) -> Column:
     return F.exists(all_matches(text, _LINK), lambda u: _bare(url_host(u)).isin(*SHORTENER_HOSTS))
 
 
-def entity_present(kind: str, text: Column, pre: Prefilter, matched: Column) -> Column:
-    """Is an entity of the kind in the text?  Card numbers must also pass the check digit."""
-    if kind == "ANY_PII":
-        plain = [p for n, ps in ENTITY_PATTERNS.items() if n != "CREDIT_CARD" for p in ps]
-        return F.arrays_overlap(matched, pre.numbers(plain)) | entity_present("CREDIT_CARD", text, pre, matched)
-    if kind == "CREDIT_CARD":
-        p = ENTITY_PATTERNS[kind][0]
-        valid = F.exists(all_matches(text, p), lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"\D", "")))
-        return F.array_contains(matched, F.lit(pre.number[p])) & valid
-    return F.arrays_overlap(matched, pre.numbers(ENTITY_PATTERNS[kind]))
-
-
 def _signal_patterns(s: Signal) -> list[Pattern]:
+    """Patterns any of which fires the signal; card numbers need a further test."""
     if s.kind == "entity":
-        names = ENTITY_PATTERNS if s.name == "ANY_PII" else [s.name]
-        return [p for n in names for p in ENTITY_PATTERNS[n]]
+        if s.name == "ANY_PII":
+            return [p for n, ps in ENTITY_PATTERNS.items() if n != "CREDIT_CARD" for p in ps]
+        return [] if s.name == "CREDIT_CARD" else list(ENTITY_PATTERNS[s.name])
     if s.kind == "code":
         return list(CODE_PATTERNS[s.name])
     return list(s.patterns)
 
 
+_CARD = ENTITY_PATTERNS["CREDIT_CARD"][0]
+
+
+def _special_signals(have: set[str], text: Column, matched: Column, card: int, approved_tools) -> Column:
+    """Names of the fired signals that are more than a pattern."""
+    valid = F.exists(all_matches(text, _CARD), lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"\D", "")))
+    is_card = F.array_contains(matched, F.lit(card)) & valid
+    named = {"CREDIT_CARD": is_card, "ANY_PII": is_card, "SHORTENER": shortened(text),
+             "DISPLAY_HREF_MISMATCH": F.exists(anchors(F.col("html") if "html" in have else text), mismatched)}
+    if "unresolvable" in have:
+        named["UNRESOLVABLE"] = F.col("unresolvable")
+    if "unapproved_tool" in have:
+        named["AI_TOOL"] = F.col("unapproved_tool")
+    elif approved_tools is not None and "tool" in have:
+        named["AI_TOOL"] = ~F.array_contains(literal_array(approved_tools, "string"), F.col("tool"))
+    if "foreign_tag" in have:
+        named["FOREIGN_CONTEXT_TAG"] = F.col("foreign_tag")
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in named.items()]))
+
+
+_DETECTOR_TYPE = ("struct<detector_id:string,threat_id:int,applies:array<string>,combine:string,fire:decimal(4,2),"
+                  "escalate:decimal(4,2),signals:array<struct<weight:decimal(4,2),words:array<int>,names:array<int>,special:string>>>")
+
+
 def score_events(events: DataFrame, *, key: str = "event_id", detectors: Sequence[WeightedDetector] = WEIGHTED,
                  approved_tools: Sequence[str] | None = None) -> DataFrame:
     """One row per event and applicable detector: ``confidence`` as DECIMAL(4,2).
@@ -77,57 +91,51 @@ def score_events(events: DataFrame, *, key: str = "event_id", detectors: Sequenc
     ``events``: key, ``type``, ``text`` and, where present, ``filename``, ``tool``,
     ``html``, ``foreign_tag``, ``unapproved_tool``, ``unresolvable``.  A signal
     whose column is missing scores 0.  ``approved_tools`` may be given as a list,
-    or the caller joins a large allow-list and passes ``unapproved_tool``."""
+    or the caller joins a large allow-list and passes ``unapproved_tool``.
+
+    Detectors are data: a constant array folded over the numbers of the matching
+    patterns, each of which was run once per text."""
     have = set(events.columns)
     used = [s for d in detectors for s in d.signals]
-    text_pre = Prefilter(p for s in used if s.scope == "text" for p in _signal_patterns(s))
-    work = events.withColumn("__tc", text_pre.column(F.col("text")))
-    work = sealed(work, "__can", text_pre.matched(F.col("text"), F.col("__tc"))).drop("__tc")
-    name_pre = Prefilter(p for s in used if s.scope == "filename" for p in _signal_patterns(s))
-    if "filename" in have:
-        work = work.withColumn("__fc", name_pre.column(F.col("filename")))
-        work = sealed(work, "__ncan", name_pre.matched(F.col("filename"), F.col("__fc"))).drop("__fc")
-
-    def fired(s: Signal) -> Column:
-        if s.scope == "filename":
-            return F.arrays_overlap("__ncan", name_pre.numbers(s.patterns)) if "filename" in have else F.lit(False)
-        text, can = F.col("text"), F.col("__can")
-        if s.kind == "entity":
-            return entity_present(s.name, text, text_pre, can)
-        if s.kind == "code":
-            return F.arrays_overlap(can, text_pre.numbers(CODE_PATTERNS[s.name]))
-        if s.kind == "url":
-            if s.name == "SHORTENER":
-                return F.coalesce(shortened(text), F.lit(False))
-            if s.name == "DISPLAY_HREF_MISMATCH":
-                source = F.col("html") if "html" in have else text
-                return F.coalesce(F.exists(anchors(source), mismatched), F.lit(False))
-            return F.coalesce(F.col("unresolvable"), F.lit(False)) if "unresolvable" in have else F.lit(False)
-        if s.kind == "allowlist":
-            if "unapproved_tool" in have:
-                return F.coalesce(F.col("unapproved_tool"), F.lit(False))
-            if approved_tools is None or "tool" not in have:
-                return F.lit(False)
-            return F.coalesce(~F.col("tool").isin(*approved_tools), F.lit(False))
-        if s.kind == "heuristic":
-            return F.coalesce(F.col("foreign_tag"), F.lit(False)) if "foreign_tag" in have else F.lit(False)
-        return F.arrays_overlap(can, text_pre.numbers(s.patterns))
-
-    def score(s: Signal) -> Column:
-        return F.when(F.coalesce(fired(s), F.lit(False)), F.lit(s.weight)).otherwise(F.lit(Decimal("0.00"))).cast(_DEC)
-
-    cells = []
-    for d in detectors:
-        parts = [score(s) for s in d.signals]
-        cells.append(F.when(F.col("type").isin(*d.applies_to), F.struct(
-            F.lit(d.detector_id).alias("detector_id"), F.lit(d.threat_id).alias("threat_id"),
-            F.lit(d.combine).alias("combine"), F.lit(d.fire).cast(_DEC).alias("fire"),
-            F.lit(d.escalate).cast(_DEC).alias("escalate"), F.array(*parts).alias("scores"))))
+    text_pre = Prefilter([p for s in used if s.scope != "filename" for p in _signal_patterns(s)] + [_CARD])
+    name_pre = Prefilter([p for s in used if s.scope == "filename" for p in _signal_patterns(s)])
+    work = events.withColumn("__c", text_pre.column(F.col("text")))
+    work = sealed(work, "__words", text_pre.matched(F.col("text"), F.col("__c"))).drop("__c")
+    if "filename" in have and name_pre.patterns:
+        work = work.withColumn("__c", name_pre.column(F.col("filename")))
+        work = sealed(work, "__names", name_pre.matched(F.col("filename"), F.col("__c"))).drop("__c")
+    else:
+        work = work.withColumn("__names", F.array().cast("array<int>"))
+    work = sealed(work, "__special", _special_signals(
+        have, F.col("text"), F.col("__words"), text_pre.number[_CARD], approved_tools))
+
+    def signal(s: Signal) -> str:
+        named = s.scope == "filename"
+        pre = name_pre if named else text_pre
+        numbers = [pre.number[p] for p in _signal_patterns(s)]
+        return (f"named_struct('weight', {s.weight}, 'words', {sql_literal([] if named else numbers)}, "
+                f"'names', {sql_literal(numbers if named else [])}, 'special', {sql_literal(s.name)})")
+
+    rows_sql = ", ".join(
+        f"named_struct('detector_id', {sql_literal(d.detector_id)}, 'threat_id', {d.threat_id}, 'applies', {sql_literal(d.applies_to)}, "
+        f"'combine', {sql_literal(d.combine)}, 'fire', {d.fire}, 'escalate', {d.escalate}, "
+        f"'signals', array({', '.join(map(signal, d.signals))}))" for d in detectors)
+    table = F.expr(f"CAST(array({rows_sql}) AS array<{_DETECTOR_TYPE}>)")
+    zero = F.lit(Decimal("0.00")).cast(_DEC)
+
+    def points(s):
+        hit = (F.arrays_overlap(s["words"], F.col("__words")) | F.arrays_overlap(s["names"], F.col("__names"))
+               | F.array_contains("__special", s["special"]))
+        return F.when(F.coalesce(hit, F.lit(False)), s["weight"]).otherwise(zero)
+
+    applicable = F.transform(F.filter(table, lambda d: F.array_contains(d["applies"], F.col("type"))), lambda d: F.struct(
+        d["detector_id"].alias("detector_id"), d["threat_id"].alias("threat_id"),
+        combine_scores(d["combine"], F.transform(d["signals"], points)).alias("confidence"),
+        d["fire"].alias("fire"), d["escalate"].alias("escalate")))
     keep = [c for c in events.columns if c not in ("text", "html")]
-    rows = work.select(*keep, F.explode(F.array_compact(F.array(*cells))).alias("d"))
-    return rows.select(*keep, "d.detector_id", "d.threat_id",
-                       combine_scores(F.col("d.combine"), F.col("d.scores")).alias("confidence"),
-                       "d.fire", "d.escalate", F.lit(RULE_VERSION).alias("rule_version"))
+    rows = work.select(*keep, F.explode_outer(applicable).alias("d")).where(F.col("d").isNotNull())
+    return rows.select(*keep, "d.detector_id", "d.threat_id", "d.confidence", "d.fire", "d.escalate",
+                       F.lit(RULE_VERSION).alias("rule_version"))
 
 
 def combine_scores(how: Column, scores: Column) -> Column:

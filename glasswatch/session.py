@@ -12,6 +12,10 @@ DEFAULTS = {
     # Many regexes in one projection make large generated methods; Spark falls
     # back to split (non whole-stage) code on its own.
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts can be large: smaller Arrow batches keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Call-site capture costs several JVM round trips per Column operation.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
