@@ -47,12 +47,14 @@ def scan_seeded_output(spark, sf):
     return S.scan_rows(seeded(spark, sf), ["doc_id"], stage="output").select("doc_id", *_FIELDS)
 
 
+_SEEDED_TURNS = ("seeded_turns AS (SELECT conv_id, turn, role, text || chr(10) || ([" + ", ".join(G.q(p) for p in PHRASES)
+                 + f"])[(conv_id * 7 + turn) % {len(PHRASES)} + 1] AS text FROM conversations)")
 _TURN_STAGES = {"user": "prompt", "assistant": "output", "system": "file"}
 
 
 @query("scan_turns_by_stage",
-       "WITH " + ", ".join(
-           G.hits_cte(f"(SELECT * FROM conversations WHERE role = '{role}')", "conv_id, turn", stage=stage, name=f"h_{stage}") + ", "
+       "WITH " + _SEEDED_TURNS + ", " + ", ".join(
+           G.hits_cte(f"(SELECT * FROM seeded_turns WHERE role = '{role}')", "conv_id, turn", stage=stage, name=f"h_{stage}") + ", "
            + G.findings_cte("conv_id, turn", f"h_{stage}", f"f_{stage}") for role, stage in _TURN_STAGES.items())
        + " " + " UNION ALL ".join(
            f"SELECT conv_id, turn, '{s}' AS stage, rank, threat_id, detector_id, mode, match, risk_level, risk_score, category FROM f_{s}"
@@ -60,7 +62,8 @@ _TURN_STAGES = {"user": "prompt", "assistant": "output", "system": "file"}
 def scan_turns(spark, sf):
     role = F.col("role")
     stage = F.when(role == "user", "prompt").when(role == "assistant", "output").otherwise("file")
-    df = table(spark, sf, "conversations").withColumn("stage", stage)
+    phrase = F.get(S.literal_array(PHRASES, "string"), ((F.col("conv_id") * 7 + F.col("turn")) % len(PHRASES)).cast("int"))
+    df = table(spark, sf, "conversations").withColumn("stage", stage).withColumn("text", F.concat("text", F.lit("\n"), phrase))
     return S.scan_rows(df, ["conv_id", "turn", "stage"], stage=F.col("stage")).select("conv_id", "turn", "stage", *_FIELDS)
 
 
@@ -299,3 +302,22 @@ def precision_recall_toxic(spark, sf):
     hits = S.scan(docs, detectors=org_packs(spark)[:1])
     pred = hits.select(F.lit("pack:houserules:insult").alias("rule"), (F.size("findings") > 0).alias("y"), (F.col("toxic") == 1).alias("t"))
     return confusion(pred, "rule", "y", "t").withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
+
+
+# Threat each example phrase must raise as a prompt; null where it must raise none of its own.
+_EXPECT = (None, 3, 3, 3, 3, 3, 3, 40, 40, 40, 41, 45, 45, 45, 42, 15, 15, 1, 1, 39, 39, 39, 39, 39, None, 39, 39, 39, 15, 9, 3, 2, 11,
+           43, 43, 44, 15, 1, 46, 47, 48, 49, None, None, None, None, 43, None)
+_EXPECT_SQL = "([" + ", ".join("NULL" if e is None else str(e) for e in _EXPECT) + f"])[doc_id % {len(PHRASES)} + 1]"
+
+
+@query("redteam_eval",
+       f"WITH {SEEDED}, {G.hits_cte('seeded', 'doc_id')}, {G.findings_cte('doc_id')}, c AS (SELECT s.doc_id, {_EXPECT_SQL} AS expect, "
+       f"list(f.threat_id) FILTER (f.threat_id IS NOT NULL) AS ids FROM seeded s LEFT JOIN findings f USING (doc_id) GROUP BY s.doc_id) "
+       "SELECT expect, count(*) FILTER (CASE WHEN expect IS NULL THEN ids IS NULL ELSE COALESCE(list_contains(ids, expect), false) END) AS passed, count(*) AS total FROM c GROUP BY expect")
+def redteam_eval(spark, sf):
+    from glasswatch.operators.evaluation import evaluate_cases
+    expect = F.get(S.literal_array(_EXPECT, "int"), (F.col("doc_id") % len(PHRASES)).cast("int"))
+    cases = seeded(spark, sf).select(
+        F.col("doc_id").cast("string").alias("id"), "text", F.lit(None).cast("array<string>").alias("turns"),
+        F.lit(None).cast("string").alias("stage"), expect.alias("expect"), expect.isNull().alias("none"))
+    return evaluate_cases(cases).groupBy("expect").agg(F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("total"))
