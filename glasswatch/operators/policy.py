@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasswatch.operators.redact import redact
-from glasswatch.operators.scan import literal_array, review, scan
+from glasswatch.operators.scan import literal_array, review, scan, sealed
 from glasswatch.plans.skew import salted_join
 from glasswatch.rules.catalog import APPROVAL_THREATS, DATA_TIERS, SOURCE_URLS, THREATS
 from glasswatch.rules.content import CONTENT_RULES
@@ -67,8 +67,14 @@ def decide(df: DataFrame, text: str = "text", stage: str | Column = "prompt", po
     Threat findings: block denies, justify asks, disabled is dropped.  Content
     hits: the same, absent from the policy means disabled, and an ask gives no
     reason.  Null policy or blank text -> allow."""
-    pol = F.col(policy)
     work = review(df, text, stage, detectors=detectors, threats=threats, rules=content_rules)
+    return decide_reviewed(work, policy, df.columns)
+
+
+def decide_reviewed(work: DataFrame, policy: str = "policy", keep: Sequence[str] | None = None) -> DataFrame:
+    """The decision for rows that already carry ``findings`` and ``content_hits``."""
+    pol = F.col(policy)
+    keep = keep if keep is not None else [c for c in work.columns if c not in ("findings", "content_hits")]
     work = work.withColumn("__t", F.filter(F.transform("findings", lambda f: F.struct(
         f["threat_id"].alias("threat_id"), f["category"].alias("category"), f["risk_level"].alias("risk_level"),
         f["match"].alias("match"), resolve_action(f["threat_id"], pol).alias("action"))),
@@ -88,7 +94,7 @@ def decide(df: DataFrame, text: str = "text", stage: str | Column = "prompt", po
     shape = "array<struct<threat_id:int,category:string,risk_level:string,match:string,action:string>>"
     plain = F.transform("__c", lambda x: x.dropFields("label"))
     return work.select(
-        *df.columns,
+        *keep,
         F.when(active, _decision(F.coalesce(F.array_max(ranks), F.lit(1)))).otherwise(F.lit("allow")).alias("decision"),
         F.when(active, F.concat(reason_t, reason_c)).otherwise(F.array().cast("array<string>")).alias("reasons"),
         F.when(active, F.concat(F.col("__t").cast(shape), plain.cast(shape))).otherwise(F.array().cast(shape)).alias("reported"))
@@ -97,7 +103,8 @@ def decide(df: DataFrame, text: str = "text", stage: str | Column = "prompt", po
 def guard_verdict(df: DataFrame, text: str = "text", policy: str = "policy", *,
                   detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
     """One-shot prompt review with explicit actions only: ``verdict`` clean,
-    review or blocked, ``n_reported`` / ``n_visible`` counts, and ``redacted``."""
+    review or blocked, ``n_reported`` / ``n_visible`` counts, and ``redacted`` text
+    for prompts that are not clean."""
     pol = F.col(policy)
     work = review(df, text, "prompt", detectors=detectors)
     work = work.withColumn("__a", F.filter(F.transform(
@@ -109,7 +116,9 @@ def guard_verdict(df: DataFrame, text: str = "text", policy: str = "policy", *,
     blocked = F.exists("__all", lambda a: a == "block")
     work = work.select(*df.columns, F.size("__all").alias("n_reported"), F.size(visible).alias("n_visible"),
                        F.when(blocked, "blocked").when(F.size(visible) > 0, "review").otherwise("clean").alias("verdict"))
-    return redact(work, text, "prompt", detectors=detectors)
+    # A clean prompt goes out as it is; only the others are offered masked.
+    work = sealed(work, "__in", F.when(F.col("verdict") != "clean", F.col(text)))
+    return redact(work, "__in", "prompt", detectors=detectors).drop("__in")
 
 
 def review_output(df: DataFrame, text: str = "text", policy: str = "policy", *,
@@ -120,13 +129,14 @@ def review_output(df: DataFrame, text: str = "text", policy: str = "policy", *,
     with ``output_review`` false passes the answer through unread."""
     pol = F.col(policy)
     skip = F.coalesce(pol["output_review"] == False, F.lit(False))  # noqa: E712
-    work = scan(df.withColumn("__seen", F.when(~skip, F.col(text))), "__seen", "output", detectors=detectors)
+    work = scan(sealed(df, "__seen", F.when(~skip, F.col(text))), "__seen", "output", detectors=detectors)
     work = work.withColumn("__acts", F.filter(F.transform("findings", lambda f: F.struct(
         f["threat_id"].alias("t"), resolve_action(f["threat_id"], pol, "explicit").alias("a"))),
         lambda x: x["a"] != "disabled"))
     mask = ~skip & (F.coalesce(pol["output_redaction"], F.lit(False))
                     | F.exists("__acts", lambda x: x["a"].isin("block", "justify")))
-    work = work.withColumn("masked", mask).withColumn("__in", F.when(F.col("masked"), F.col(text)))
+    work = sealed(work, "masked", mask)
+    work = sealed(work, "__in", F.when(F.col("masked"), F.col(text)))
     work = redact(work, "__in", "output", detectors=detectors, into="__out")
     return work.select(*df.columns, F.transform("__acts", lambda x: x["t"]).alias("flagged"), "masked",
                        F.when(F.col("masked"), F.col("__out")).otherwise(F.col(text)).alias("delivered"))

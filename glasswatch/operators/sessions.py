@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glasswatch.functions.text import is_blank
 from glasswatch.operators.scan import FINDINGS_TYPE, Prefilter, as_hits, known, match_rules, reduce_hits
-from glasswatch.plans.skew import running_sum, trailing_rows
+from glasswatch.plans.skew import running_sum, salted_join, trailing_rows
 from glasswatch.rules.catalog import THREATS
 from glasswatch.rules.detectors import DETECTORS, INJECTION_PREFIX, PERSISTENCE_DETECTOR, PERSISTENCE_THREAT
 from glasswatch.rules.model import Detector, Threat
@@ -70,7 +68,7 @@ def scan_session(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     if mode == "last":
         # Only the closing window of a conversation is needed.
         total = work.groupBy(conv).agg(F.max("turn_no").alias("__n"))
-        work = work.join(total, conv).where(F.col("turn_no") > F.col("__n") - window)
+        work = salted_join(work, total, [conv], "inner", salt_on=[conv, turn]).where(F.col("turn_no") > F.col("__n") - window)
         texts = F.array_sort(F.collect_list(F.struct("turn_no", turn, text)))
         last = work.groupBy(conv).agg(texts.alias("__w"), F.sum("__flag").alias("flagged_turns"))
         last = last.select(conv, F.element_at("__w", -1)[turn].alias(turn), F.size("__w").alias("n_turns"), "flagged_turns",
@@ -105,5 +103,5 @@ def foreign_context(df: DataFrame, session: str, order: str, tag: str) -> DataFr
 
     The first tag is an aggregate (combined map-side), not a window."""
     first = df.where(F.col(tag).isNotNull()).groupBy(session).agg(F.min_by(tag, order).alias("session_tag"))
-    return df.join(first, session, "left").withColumn(
+    return salted_join(df, first, [session], salt_on=[session, order]).withColumn(
         "foreign_tag", F.coalesce(F.col(tag) != F.col("session_tag"), F.lit(False)))

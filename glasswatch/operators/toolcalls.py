@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from glasswatch.functions.regex_dialect import Pattern
 from glasswatch.functions.text import js_trim
-from glasswatch.operators.policy import decide, decide_mcp_server
+from glasswatch.operators.policy import decide_mcp_server, decide_reviewed
+from glasswatch.operators.scan import review
+from glasswatch.plans.skew import salted_join
 
 # Commands that only print files, and shell syntax that hides what is read.
 READERS = ("cat", "head", "tail", "less", "bat", "xxd", "nl", "more")
 MAX_PATHS = 8
 _UNCLEAR = Pattern(r"[|><`$(){}]|&&|\|\|").java()
-_READ = Pattern(r"^(?:" + "|".join(READERS) + r")\s+(.+)$")
-_READ_JAVA = _READ.java()
+_READ = Pattern(r"^(?:" + "|".join(READERS) + r")\s+(.+)$").java()
 _SPACES = Pattern(r"\s+").java()
 
 
@@ -23,7 +24,7 @@ def extract_read_paths(command: Column) -> Column:
     cmd = js_trim(F.coalesce(command, F.lit("")))
     tail = F.regexp_replace(cmd, r"\A(?:" + "|".join(READERS) + ")" + _SPACES, "")
     words = F.filter(F.split(tail, _SPACES), lambda w: (w != "") & ~w.startswith("-"))
-    return F.when(cmd.rlike(_READ_JAVA) & ~cmd.rlike(_UNCLEAR), F.slice(words, 1, MAX_PATHS)) \
+    return F.when(cmd.rlike(_READ) & ~cmd.rlike(_UNCLEAR), F.slice(words, 1, MAX_PATHS)) \
         .otherwise(F.array().cast("array<string>"))
 
 
@@ -51,19 +52,21 @@ def route(calls: DataFrame) -> DataFrame:
 def review_calls(calls: DataFrame, files: DataFrame, **rules) -> DataFrame:
     """(call_id, route, decision, reasons): one row per call.
 
-    File content is joined by path, so a path read by many calls is spread by the
-    adaptive skew join; a denied server is never scanned; other tools are allowed.
-    ``files``: path, content."""
+    Each file somebody reads is reviewed once, however many calls name it; what
+    is joined to the calls is its short list of findings, salted because one path
+    may be in most calls.  A denied server is never scanned; other tools are
+    allowed.  ``files``: path, content."""
     routed = route(calls)
-    policy_of = routed.select("call_id", "policy", "route", "server", "mcp_decision", "tool_input", "paths")
     active = F.col("policy").isNotNull()
-    wanted = policy_of.where(active & F.col("route").isin("read", "bash")).select(
+    wanted = routed.where(active & F.col("route").isin("read", "bash")).select(
         "call_id", "policy", F.posexplode("paths").alias("pos", "path"))
-    texts = wanted.join(files.select("path", F.col("content").alias("text")), "path").select(
-        "call_id", "policy", "pos", "text", F.lit("file").alias("stage"))
-    args = policy_of.where(active & (F.col("route") == "mcp") & (F.col("mcp_decision") == "allow")).select(
-        "call_id", "policy", F.lit(0).alias("pos"), F.col("tool_input").alias("text"), F.lit("prompt").alias("stage"))
-    seen = decide(texts.unionByName(args), "text", F.col("stage"), "policy", **rules)
+    needed = files.join(wanted.select("path").distinct(), "path", "left_semi").select("path", F.col("content").alias("text"))
+    seen_files = review(needed, "text", "file", **rules).drop("text")
+    from_files = salted_join(wanted, seen_files, ["path"], "inner", salt_on=["call_id", "pos"]).drop("path")
+    args = routed.where(active & (F.col("route") == "mcp") & (F.col("mcp_decision") == "allow")).select(
+        "call_id", "policy", F.lit(0).alias("pos"), F.col("tool_input").alias("text"))
+    from_args = review(args, "text", "prompt", **rules).drop("text")
+    seen = decide_reviewed(from_files.unionByName(from_args), "policy")
     rank = F.when(F.col("decision") == "deny", 3).when(F.col("decision") == "ask", 2).otherwise(1)
     # The strictest text decides; between equals, the first one read.
     best = seen.select("call_id", F.struct((-rank).alias("r"), "pos", "decision", "reasons").alias("b"), F.size("reported").alias("n")) \

@@ -26,6 +26,13 @@ def _ordered(parts: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat(frames).sort_values(by, kind="stable") if frames else pd.DataFrame()
 
 
+def _spread(rows: DataFrame, text: str, *by: str) -> DataFrame:
+    """Repartition stateful output (the generator first gives it Spark's row layout)."""
+    rest = [c for c in rows.columns if c != text]
+    laid = sealed(rows.withColumnRenamed(text, "__text"), text, F.col("__text")).select(*rest, text)
+    return laid.repartition(*by)
+
+
 def line_stream(chunks: DataFrame, session: str = "session_id", seq: str = "seq", chunk: str = "chunk", *,
                 limit: int = LIMIT, keep: int = KEEP) -> DataFrame:
     """(session, unit, text) as lines complete; the state is the text since the last newline."""
@@ -50,6 +57,8 @@ def line_stream(chunks: DataFrame, session: str = "session_id", seq: str = "seq"
     out = chunks.select(session, seq, chunk).groupBy(session).applyInPandasWithState(
         step, f"{session} {key_type}, unit long, text string", "buffer string, unit long", "append",
         GroupStateTimeout.NoTimeout)
+    # Spread a busy session again for the work on its text.
+    out = _spread(out, "text", session, "unit")
     return out.withColumn("text", strip_ansi(F.col("text"))).where(~is_blank(F.col("text")))
 
 
@@ -81,7 +90,7 @@ def session_stream(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
         step, f"{conv} {kinds[conv]}, {turn} {kinds[turn]}, n_turns int, flagged_turns long, joined string",
         "texts array<string>, flags array<int>", "append",
         GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
-    # Stateful output rows are plain objects; the generator lays them out for the Arrow pass.
-    joined = sealed(joined, "window_text", F.col("joined")).drop("joined")
-    return scan_joined(joined, "window_text", "flagged_turns", "n_turns", **rules).drop("window_text").withColumn(
+    # State is per conversation, but the text work need not be: a busy one is spread again by turn.
+    joined = _spread(joined, "joined", conv, turn)
+    return scan_joined(joined, "joined", "flagged_turns", "n_turns", **rules).drop("joined").withColumn(
         "multi_turn", F.lit(True))
