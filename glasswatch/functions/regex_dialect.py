@@ -201,6 +201,14 @@ class Pattern:
     def anchors(self) -> tuple[Anchor, ...] | None:
         return self._anchors
 
+    @functools.cached_property
+    def min_width(self) -> int:
+        return self._tree.getwidth()[0]
+
+    def can_hold(self, chars: str) -> bool:
+        """May a match hold one of ``chars``?"""
+        return _consumes(self._tree, [ord(c) for c in chars])
+
     @functools.cached_property
     def min_digits(self) -> int:
         """ASCII digits every match holds at least."""
@@ -352,6 +360,31 @@ def _all_word(items, first: bool) -> bool:
     return False
 
 
+def _consumes(items, chars) -> bool:
+    """May a match hold one of ``chars``?"""
+    for op, arg in items:
+        if op is sre.LITERAL:
+            hit = arg in chars
+        elif op is sre.NOT_LITERAL:
+            hit = any(c != arg for c in chars)
+        elif op is sre.ANY:
+            hit = True
+        elif op is sre.IN:
+            negated, ranges = _class_ranges(arg, False)
+            hit = any(negated != any(lo <= c <= hi for lo, hi in ranges) for c in chars)
+        elif op is sre.BRANCH:
+            hit = any(_consumes(b, chars) for b in arg[1])
+        elif op is sre.SUBPATTERN:
+            hit = _consumes(arg[3], chars)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            hit = _consumes(arg[2], chars)
+        else:
+            hit = op not in (sre.AT, sre.ASSERT, sre.ASSERT_NOT)
+        if hit:
+            return True
+    return False
+
+
 def _digits(items) -> int:
     total = 0
     for op, arg in items:
@@ -499,6 +532,10 @@ def _required(items, ignore_case) -> set[str] | None:
             inner = _required(arg[2], ignore_case)
             if inner:
                 candidates.append(inner)
+            # What follows a repetition follows its last round.
+            last = _sequence_texts(arg[2], ignore_case)
+            if last is not None and all(last):
+                run = last
     flush()
     candidates = [c for c in candidates if c and usable(c)]
     if not candidates:

@@ -22,7 +22,14 @@ def tag(threat_id: int) -> str:
 
 
 def _tag_independent(p: Pattern) -> bool:
-    """No anchor can arise from an inserted tag, so absence in the original text is final."""
+    """Can absence of the pattern's evidence in the original text rule it out later on?
+
+    A pattern that takes no bracket matches wholly inside a tag or wholly in
+    original text; one too wide or with too many digits for a tag's inside is
+    left with the latter.  Otherwise no anchor may arise from tag characters."""
+    inside = len("REDACTED:#") + 4
+    if not p.can_hold("[]") and (p.min_width > inside or p.min_digits > 4 or (p.min_digits > 2 and not p.can_hold(":#D"))):
+        return bool(p.anchors()) or p.min_digits > 0
     return bool(p.anchors()) and not any(
         "[" in a.literal or "]" in a.literal or a.literal in "[redacted:#" or a.literal.isdigit()
         for a in p.anchors())

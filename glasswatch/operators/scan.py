@@ -189,7 +189,8 @@ class Matcher:
 
     def _match(self, text: Column, regex: Column, refine: Column) -> Column:
         found = F.call_function("regexp_extract", text, regex, F.lit(0))
-        found = F.when(F.regexp_like(text, regex), found) if self.may_be_empty else F.nullif(found, F.lit(""))
+        if self.may_be_empty:
+            found = F.when(F.regexp_like(text, regex), found)
         for name in sorted(set(self.slot_refine) - {""}):
             accept = refiners.predicate(name)
             passing = F.filter(F.regexp_extract_all(text, regex, F.lit(0)), lambda m: accept(m))
@@ -207,7 +208,8 @@ class Matcher:
         out = F.transform(slots, lambda s: F.struct(
             s.alias("s"), F.get(rule, s).alias("r"),
             self._match(text, F.get(table, F.get(pattern, s)), F.get(refine, s)).alias("m")))
-        return F.filter(out, lambda x: x["m"].isNotNull())
+        # Without empty-matching patterns an empty extract means no match.
+        return F.filter(out, lambda x: x["m"].isNotNull() if self.may_be_empty else F.coalesce(x["m"], F.lit("")) != "")
 
     @staticmethod
     def first_per_rule(tried: Column) -> Column:

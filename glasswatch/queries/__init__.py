@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glasswatch.sources.readers import table
+from glasswatch.sources.readers import balanced, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,8 +21,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows carry long text, spread over the cores."""
+    return balanced(table(spark, sf, name))
+
+
 def load_all() -> None:
     from glasswatch.queries import detection, fleet, inventory, policy, sessions, streams, weighted  # noqa: F401
 
 
-__all__ = ["QUERIES", "SQL", "query", "table", "load_all"]
+__all__ = ["QUERIES", "SQL", "query", "table", "texts", "load_all"]

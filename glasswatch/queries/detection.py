@@ -11,7 +11,7 @@ from glasswatch.operators import packs as PK
 from glasswatch.operators import redact as R
 from glasswatch.operators import scan as S
 from glasswatch.operators.evaluation import confusion
-from glasswatch.queries import query, sqlgen as G, table
+from glasswatch.queries import query, sqlgen as G, table, texts
 from glasswatch.queries.samples import PHRASES
 from glasswatch.rules.catalog import THREATS
 from glasswatch.rules.content import CONTENT_RULES
@@ -24,7 +24,7 @@ _FIELDS = ["rank", "threat_id", "detector_id", "mode", "match", "risk_level", "r
 def seeded(spark, sf):
     """Documents, each ending in one of the example phrases."""
     phrases = S.literal_array(PHRASES, "string")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", "lang", "source", F.concat("text", F.lit("\n"), F.get(phrases, (F.col("doc_id") % len(PHRASES)).cast("int"))).alias("text"))
 
 
@@ -34,7 +34,7 @@ SEEDED = ("seeded AS (SELECT doc_id, lang, source, text || chr(10) || (["
 
 @query("scan_documents_findings", G.scan_sql("documents", "doc_id"))
 def scan_documents(spark, sf):
-    return S.scan_rows(table(spark, sf, "documents"), ["doc_id"]).select("doc_id", *_FIELDS)
+    return S.scan_rows(texts(spark, sf, "documents"), ["doc_id"]).select("doc_id", *_FIELDS)
 
 
 @query("scan_seeded_prompts", G.scan_sql("seeded", "doc_id", with_sql=SEEDED + ", "))
@@ -63,7 +63,7 @@ def scan_turns(spark, sf):
     role = F.col("role")
     stage = F.when(role == "user", "prompt").when(role == "assistant", "output").otherwise("file")
     phrase = F.get(S.literal_array(PHRASES, "string"), ((F.col("conv_id") * 7 + F.col("turn")) % len(PHRASES)).cast("int"))
-    df = table(spark, sf, "conversations").withColumn("stage", stage).withColumn("text", F.concat("text", F.lit("\n"), phrase))
+    df = texts(spark, sf, "conversations").withColumn("stage", stage).withColumn("text", F.concat("text", F.lit("\n"), phrase))
     return S.scan_rows(df, ["conv_id", "turn", "stage"], stage=F.col("stage")).select("conv_id", "turn", "stage", *_FIELDS)
 
 
@@ -74,7 +74,7 @@ def scan_turns(spark, sf):
        "GROUP BY p.page_id, p.url")
 def index_quarantine(spark, sf):
     # One pass; scan_for_index splits the same result in two tables.
-    done = S.scan(table(spark, sf, "pages"), "html", "index")
+    done = S.scan(texts(spark, sf, "pages"), "html", "index")
     return done.select("page_id", "url", F.size("findings").alias("n_findings"), (F.size("findings") > 0).alias("quarantined"),
                        F.get("findings", F.lit(0))["detector_id"].alias("top_detector"))
 
@@ -119,7 +119,7 @@ _PACK_RULES = (Detector("pack:houserules:insult", 16, tuple(p.__class__(p.source
 @query("org_pack_findings", G.scan_sql("documents", "doc_id", detectors=(*DETECTORS, *_PACK_RULES)))
 def org_pack_findings(spark, sf):
     rules = PK.apply_packs(org_packs(spark))
-    return S.scan_rows(table(spark, sf, "documents"), ["doc_id"], detectors=rules).select("doc_id", *_FIELDS)
+    return S.scan_rows(texts(spark, sf, "documents"), ["doc_id"], detectors=rules).select("doc_id", *_FIELDS)
 
 
 # Packs derived from parts: ids, threats and patterns of varying quality.
@@ -164,7 +164,7 @@ _CONTACT_PATTERNS = [p for name in _CONTACT for d in DETECTORS if d.detector_id
        "SELECT doc_id, m AS first_contact FROM (SELECT doc_id, COALESCE("
        + ", ".join(G.first("text", p) for p in _CONTACT_PATTERNS) + ") AS m FROM documents) WHERE m IS NOT NULL")
 def first_match_contact(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "text")
     return S.first_match(docs, "text", _CONTACT_PATTERNS, "first_contact").select("doc_id", "first_contact") \
         .where(F.col("first_contact").isNotNull())
 
@@ -187,7 +187,7 @@ def refined_tokens(spark, sf):
 @query("clip_and_hash",
        f"SELECT doc_id, c AS clipped, {G.djb2('c')} AS tag FROM (SELECT doc_id, {G.clip('text')} AS c FROM documents)")
 def clip_and_hash(spark, sf):
-    cut = table(spark, sf, "documents").select("doc_id", clip(F.col("text")).alias("clipped"))
+    cut = texts(spark, sf, "documents").select("doc_id", clip(F.col("text")).alias("clipped"))
     return cut.select("doc_id", "clipped", content_hash(F.col("clipped")).alias("tag"))
 
 
@@ -256,7 +256,7 @@ def salvage_prompts(spark, sf):
        "SELECT page_id, 'upload' AS stage, 18 AS threat_id, GREATEST(1, CAST(floor(length(html) / 1024.0 + 0.5) AS BIGINT)) AS size_kb, "
        f"{G.djb2('url')} AS content_hash FROM pages")
 def upload_events_pages(spark, sf):
-    files = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("device"), F.col("url").alias("name"),
+    files = texts(spark, sf, "pages").select(F.col("page_id").cast("string").alias("device"), F.col("url").alias("name"),
                                             F.length("html").alias("size"), F.lit("text/html").alias("mime"))
     return A.upload_events(files).select(F.col("device").cast("long").alias("page_id"), "stage", "threat_id", "size_kb", "content_hash")
 
@@ -298,7 +298,7 @@ def detectability_coverage(spark, sf):
        "SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp)::DOUBLE, 6) END AS precision, "
        "CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn)::DOUBLE, 6) END AS recall FROM c")
 def precision_recall_toxic(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    docs = texts(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
     hits = S.scan(docs, detectors=org_packs(spark)[:1])
     pred = hits.select(F.lit("pack:houserules:insult").alias("rule"), (F.size("findings") > 0).alias("y"), (F.col("toxic") == 1).alias("t"))
     return confusion(pred, "rule", "y", "t").withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))

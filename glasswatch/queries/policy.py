@@ -10,7 +10,7 @@ from glasswatch.operators import scan as S
 from glasswatch.operators import toolcalls as TC
 from glasswatch.plans.asof import asof_join
 from glasswatch.plans.skew import salted_join
-from glasswatch.queries import query, sqlgen as G, table
+from glasswatch.queries import query, sqlgen as G, table, texts
 from glasswatch.queries.detection import SEEDED, seeded
 
 
@@ -203,7 +203,7 @@ _PATHS_SQL = ("CASE WHEN regexp_matches(c, '[|><`$(){}]|&&|\\|\\|') OR NOT regex
        f"SELECT doc_id, array_to_string({_PATHS_SQL}, ',') AS paths FROM c")
 def read_paths(spark, sf):
     cmd = F.expr(_command_expr("doc_id"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(TC.extract_read_paths(cmd), ",").alias("paths"))
+    return texts(spark, sf, "documents").select("doc_id", F.array_join(TC.extract_read_paths(cmd), ",").alias("paths"))
 
 
 _CALL_KIND = "CASE doc_id % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' WHEN 2 THEN 'mcp__' || source || '__run' ELSE 'Edit' END"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glasswatch.operators import scan as S
 from glasswatch.operators import sessions as SE
 from glasswatch.operators.output_lines import reassemble
-from glasswatch.queries import query, sqlgen as G, table
+from glasswatch.queries import query, sqlgen as G, table, texts
 from glasswatch.queries.samples import SESSION_PHRASES
 from glasswatch.rules.catalog import THREATS
 from glasswatch.rules.detectors import DETECTORS
@@ -19,7 +19,7 @@ def turns(spark, sf):
     """User turns; every seventh phrase is blank and blanks the turn."""
     phrases = S.literal_array(SESSION_PHRASES, "string")
     phrase = F.get(phrases, ((F.col("conv_id") * 3 + F.col("turn")) % _N).cast("int"))
-    return table(spark, sf, "conversations").where("role = 'user'").select(
+    return texts(spark, sf, "conversations").where("role = 'user'").select(
         "conv_id", "turn", F.when(phrase == SESSION_PHRASES[5], phrase).otherwise(F.concat(phrase, F.lit(" "), "text")).alias("text"))
 
 
@@ -93,7 +93,7 @@ _WIDTH = 40
 
 def chunks(spark, sf):
     """Assistant text cut into fixed-width chunks, one stream per conversation."""
-    t = table(spark, sf, "conversations").where("role = 'assistant'").withColumn(
+    t = texts(spark, sf, "conversations").where("role = 'assistant'").withColumn(
         "text", F.concat(F.lit("\u001b[1m"), "text", F.lit("\u001b[0m\n")))
     at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / _WIDTH).cast("int"))
     return t.select(F.col("conv_id").alias("session_id"), "turn", "text", F.explode(at).alias("i")).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glasswatch.operators import weighted as W
 from glasswatch.operators.redact import redact
 from glasswatch.functions.text import content_hash
-from glasswatch.queries import query, sqlgen as G, table
+from glasswatch.queries import query, sqlgen as G, table, texts
 from glasswatch.queries.detection import SEEDED, seeded
 from glasswatch.rules.catalog import THREATS
 from glasswatch.rules.weighted import CODE_PATTERNS, ENTITY_PATTERNS, EVENT_TYPES, SHORTENER_HOSTS, WEIGHTED
@@ -199,7 +199,7 @@ def suppressed_exceptions(spark, sf):
 def anchor_mismatch(spark, sf):
     extra = F.concat(F.lit('<a href="https://www.'), F.when(F.col("page_id") % 3 == 0, "example.org").otherwise("other.test"),
                      F.lit('/x">example.org/x</a>'))
-    pages = table(spark, sf, "pages").select("page_id", F.concat("html", extra).alias("html"))
+    pages = texts(spark, sf, "pages").select("page_id", F.concat("html", extra).alias("html"))
     links = pages.select("page_id", F.explode(W.anchors(F.col("html"))).alias("a"))
     return links.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("links"), F.count_if(F.col("a.href_host") != "").alias("external"),
@@ -212,7 +212,7 @@ def anchor_mismatch(spark, sf):
 def shortener_links(spark, sf):
     text = F.concat("url", F.lit(" "), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("see http://bit.ly/"), "page_id"))
                     .when(F.col("page_id") % 4 == 1, "HTTPS://www.T.co/x").otherwise(F.col("html")))
-    return table(spark, sf, "pages").select("page_id", W.shortened(text).alias("shortened"))
+    return texts(spark, sf, "pages").select("page_id", W.shortened(text).alias("shortened"))
 
 
 @query("unapproved_tool_events",

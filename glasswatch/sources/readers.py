@@ -18,6 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a source that has fewer splits than the session has cores.
+
+    One file with one row group would keep text work in a single task.  Tables
+    with enough splits - any large one - are returned as they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores * 2) if splits < cores else df
+
+
 def is_textual(name: Column, mime: Column) -> Column:
     ext = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z]+)$", 1))
     mime = F.coalesce(mime, F.lit(""))
