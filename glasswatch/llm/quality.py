@@ -24,7 +24,7 @@ from glasswatch.llm.common import lower_ascii, mixed, prefix_hash, powers, query
 STOPWORDS = ("the of and to in a is that it for on was with be by are das der die und ist von im ein eine zu nicht mit den auf für "
              "le la les de des et un une est pour que dans qui sur pas du el los las y en por con una para no se lo del").split()
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_stop",
-          "n_ends", "n_shout")
+          "n_ends", "n_shout", "n_stutter")
 WINDOW = 5
 
 _SYMBOL = np.zeros(256, bool)
@@ -100,6 +100,7 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
         "n_dup_lines": _per(line_of[dup], n), "n_repeat_words": _per(of[repeat], n), "n_lines": n_lines,
         "n_letters": _per(at[letter], n), "n_upper": _per(at[upper], n), "n_stop": _per(of[known], n),
         "n_ends": _per(of[np.isin(last, [ord(c) for c in ".?!:;,"])], n), "n_shout": _per(at[data == ord("!")], n),
+        "n_stutter": _per(of[1:][(of[1:] == of[:-1]) & (low_key[1:] == low_key[:-1])], n),
     }
 
 
@@ -137,8 +138,9 @@ def rules() -> dict[str, Column]:
         "word_length": _vote((_ratio("word_chars", "n_words") < 2.5) | (_ratio("word_chars", "n_words") > 12),
                              _ratio("word_chars", "n_words").between(3.5, 8)),
         "symbols": _vote(_ratio("n_symbols", "n_words") > 0.1, _ratio("n_symbols", "n_words") < 0.02),
-        "lines": _vote(_ratio("n_dup_lines", "n_lines") > 0.3, (F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0)),
+        "lines": _vote((_ratio("n_dup_lines", "n_lines") > 0.3) & (F.col("n_lines") >= 10), (F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0)),
         "repeats": _vote(_ratio("n_repeat_words", "n_words") > 0.2, _ratio("n_repeat_words", "n_words") < 0.05),
+        "stutter": _vote(_ratio("n_stutter", "n_words") > 0.15, _ratio("n_stutter", "n_words") < 0.03),
         "capitals": _vote(_ratio("n_upper", "n_letters") > 0.3, _ratio("n_upper", "n_letters") < 0.15),
         "function_words": _vote((_ratio("n_stop", "n_words") < 0.03) & (F.col("n_words") >= 50),
                                 _ratio("n_stop", "n_words") >= 0.1),
@@ -147,7 +149,8 @@ def rules() -> dict[str, Column]:
 
 
 def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """Prior of good, and P(vote | class) as [rule, class, vote + 1]; classes are bad, good.
+    """Prior of good, and P(vote | class, the rule votes) as [rule, class, vote + 1]; classes are bad, good.  Whether a rule
+    abstains is taken as independent of the class, so an abstention is no evidence and its entry is 1.
 
     Bad votes are rare and meant, so it starts from calling bad what any rule calls bad; a rule that cries bad where all
     the others see good loses weight in the rounds that follow."""
@@ -163,9 +166,9 @@ def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[f
         for j in range(r):
             for k, p in enumerate((1 - good, good)):
                 # One pseudo-count for each vote; agreement with the class has a second one.
-                base = np.array([2.0, 1, 1]) if k == 0 else np.array([1.0, 1, 2])
-                table[j, k] = np.bincount(votes[:, j], weights * p, 3) + base
-                table[j, k] /= table[j, k].sum()
+                base = np.array([2.0, 0, 1]) if k == 0 else np.array([1.0, 0, 2])
+                cast = np.bincount(votes[:, j], weights * p, 3) * [1, 0, 1] + base
+                table[j, k] = cast / cast.sum() + [0, 1, 0]
         good = posterior(patterns, prior, table)
         if np.abs(table - old).max() < 1e-9:
             break
