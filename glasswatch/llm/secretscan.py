@@ -100,7 +100,7 @@ def samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         F.concat(p["a"], F.lit("_"), p["b"]), F.concat(p["a"], F.lit("-"), p["b"]), F.concat(p["a"], F.lit("/"), p["b"]),
         F.concat(F.lower(p["a"]), F.initcap(p["b"])), F.concat(F.lower(p["a"]), F.lower(p["b"])), F.upper(F.concat(p["a"], F.lit("_"), p["b"])))))
     words = some.select(word.alias("w")).where(F.size("w") > 1).select(pairs.alias("p")).select(F.explode(joined).alias("string"))
-    runs = spark.range(1).select(F.explode(F.array(*(F.repeat(F.lit(c), strings) for c in ALPHABET))).alias("string"))
+    runs = spark.range(1).select(F.explode(F.array(*(F.repeat(F.lit(c), 20 * strings) for c in ALPHABET))).alias("string"))
     return made.select(F.lit(True).alias("random"), "string").unionByName(
         words.unionByName(number).unionByName(runs).select(F.lit(False).alias("random"), "string"))
 
