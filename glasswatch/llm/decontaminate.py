@@ -18,7 +18,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
@@ -178,18 +179,21 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
     return spark.read.schema(schema).parquet(folder).withColumnRenamed("id", id_col)
 
 
+def contains(text: Column, sent: Broadcast, rate: float = RATE) -> Column:
+    """Whether each text contains an item of a broadcast block."""
+    @arrow_udf("boolean")
+    def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Items(sent.value, rate)
+        for batch in batches:
+            raw, edge, *_ = normal(batch)
+            yield pa.array([bool(known.search(raw[edge[i]:edge[i + 1]])) for i in range(len(batch))], pa.bool_())
+    return hit(text.cast("string"))
+
+
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
     """The documents that contain no item, all columns kept."""
     for block in blocks(items):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        @arrow_udf("boolean")
-        def hit(batches: Iterator[pa.Array], sent=sent) -> Iterator[pa.Array]:
-            known = Items(sent.value, rate)
-            for batch in batches:
-                raw, edge, *_ = normal(batch)
-                yield pa.array([bool(known.search(raw[edge[i]:edge[i + 1]])) for i in range(len(batch))], pa.bool_())
-        docs = docs.where(~hit(F.col(text_col).cast("string")))
+        docs = docs.where(~contains(F.col(text_col), docs.sparkSession.sparkContext.broadcast(block), rate))
     return docs
 
 

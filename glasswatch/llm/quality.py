@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from glasswatch.llm.common import lower_ascii, mixed, prefix_hash, powers, query, range_hash, table, text_bytes, words
 
@@ -109,18 +110,19 @@ def _keys(strings: list[str]) -> np.ndarray:
     return range_hash(prefix_hash(data), offsets[:-1], offsets[1:])
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id and COUNTS (long)."""
-    schema = docs.select(id_col).schema.add("__text", "string")
-    out = ", ".join(f"{c} long" for c in COUNTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def measured_column(text: Column) -> Column:
+    """COUNTS of each text as a struct of longs."""
+    @arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = counts(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c], pa.int64()) for c in COUNTS)], [id_col, *COUNTS])
+            found = counts(batch)
+            yield pa.StructArray.from_arrays([pa.array(found[c], pa.int64()) for c in COUNTS], COUNTS)
+    return measured(text.cast("string"))
 
-    narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    return narrow.mapInArrow(run, f"{schema[0].simpleString().split(':')[0]} {schema[0].dataType.simpleString()}, {out}")
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its id and COUNTS (long)."""
+    return docs.select(id_col, measured_column(F.col(text_col)).alias("__m")).select(id_col, *(F.col(f"__m.{c}") for c in COUNTS))
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -206,7 +208,17 @@ def base_failed() -> Column:
 
 def verdicts(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Counts, base verdict, posterior and decision of each document."""
-    judged = judge(measure(docs))
+    return decide(measure(docs), least)
+
+
+def passed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that are kept, all columns as they were."""
+    whole = docs.select(F.struct("*").alias("__doc"), measured_column(F.col(text_col)).alias("__m"))
+    return decide(whole.select("__doc", *(F.col(f"__m.{c}") for c in COUNTS))).where("kept").select("__doc.*")
+
+
+def decide(measured: DataFrame, least: float = 0.5) -> DataFrame:
+    judged = judge(measured)
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 

@@ -100,16 +100,18 @@ def samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         F.concat(p["a"], F.lit("_"), p["b"]), F.concat(p["a"], F.lit("-"), p["b"]), F.concat(p["a"], F.lit("/"), p["b"]),
         F.concat(F.lower(p["a"]), F.initcap(p["b"])), F.concat(F.lower(p["a"]), F.lower(p["b"])), F.upper(F.concat(p["a"], F.lit("_"), p["b"])))))
     words = some.select(word.alias("w")).where(F.size("w") > 1).select(pairs.alias("p")).select(F.explode(joined).alias("string"))
-    runs = spark.range(1).select(F.explode(F.array(*(F.repeat(F.lit(c), 20 * strings) for c in ALPHABET))).alias("string"))
+    runs = spark.range(strings // 10).select(F.explode(F.array(*(F.repeat(F.lit(c), 200) for c in ALPHABET))).alias("string"))
     return made.select(F.lit(True).alias("random"), "string").unionByName(
         words.unionByName(number).unionByName(runs).select(F.lit(False).alias("random"), "string"))
 
 
 def _codes(string: Column) -> Column:
     """Numbers of the character pairs of a string."""
-    return F.transform(F.sequence(F.lit(1), F.char_length(string) - 1), lambda i:
-                       F.position(F.substring(string, i, F.lit(1)), F.lit(ALPHABET)) * SIZE +
-                       F.position(F.substring(string, i + 1, F.lit(1)), F.lit(ALPHABET)))
+    def pairs(chars: Column) -> Column:
+        return F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1),
+                          lambda a, b: a * SIZE + b)
+    numbers = F.transform(F.filter(F.split(string, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    return let(numbers, pairs)
 
 
 def fit(labelled: DataFrame) -> list[float]:
