@@ -134,3 +134,25 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, back: np.
 
 __all__ = ["QUERIES", "SQL", "query", "table", "shared_folder", "written", "text_bytes", "lower_ascii", "words", "prefix_hash",
            "range_hash", "mixed", "powers"]
+
+
+def whole_groups(batches, keys: tuple[str, ...]):
+    """From batches sorted by ``keys``: tables of whole groups and the edges between them.  Only the group that is open at
+    the end of a batch is carried on."""
+    open_ = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        open_ = pa.concat_tables([open_, rows]) if open_ is not None else rows
+        if not len(open_):
+            continue
+        columns = [open_[k].to_numpy() for k in keys]
+        change = np.zeros(len(open_), bool)
+        change[0] = True
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edge = np.flatnonzero(change)
+        if edge[-1]:
+            yield open_.slice(0, edge[-1]), edge
+        open_ = open_.slice(edge[-1])
+    if open_ is not None and len(open_):
+        yield open_, np.array([0, len(open_)])
