@@ -91,7 +91,7 @@ def samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     coded = F.base64(F.unhex(digest))
     plain = F.regexp_replace(coded, "[^A-Za-z0-9]", "")
     made = spark.range(strings).select(F.explode(F.array(digest, coded, plain, F.upper(plain), F.upper(digest))).alias("string"))
-    number = spark.range(strings).select(F.conv(F.substring(digest, 1, 14), 16, 10).alias("string"))
+    number = spark.range(5 * strings).select(F.conv(F.substring(digest, 1, 14), 16, 10).alias("string"))
     some = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t")) \
         .orderBy("h", "t").limit(documents)
     word = F.filter(F.split(F.coalesce("t", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w.rlike("^[A-Za-z]{3,}$"))
@@ -100,7 +100,7 @@ def samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         F.concat(p["a"], F.lit("_"), p["b"]), F.concat(p["a"], F.lit("-"), p["b"]), F.concat(p["a"], F.lit("/"), p["b"]),
         F.concat(F.lower(p["a"]), F.initcap(p["b"])), F.concat(F.lower(p["a"]), F.lower(p["b"])), F.upper(F.concat(p["a"], F.lit("_"), p["b"])))))
     words = some.select(word.alias("w")).where(F.size("w") > 1).select(pairs.alias("p")).select(F.explode(joined).alias("string"))
-    runs = spark.range(strings // 10).select(F.explode(F.array(*(F.repeat(F.lit(c), 200) for c in ALPHABET))).alias("string"))
+    runs = spark.range(strings // 100).select(F.explode(F.array(*(F.repeat(F.lit(c), 200) for c in ALPHABET))).alias("string"))
     return made.select(F.lit(True).alias("random"), "string").unionByName(
         words.unionByName(number).unionByName(runs).select(F.lit(False).alias("random"), "string"))
 
