@@ -4,12 +4,13 @@ Trigram model with Dirichlet smoothing: p1(w) = (c + 0.5) / (N + 0.5 (V + 1)), p
 p3 = (c(uvw) + MU3 p2) / (c(uv) + MU3); the first token of a text is scored by p1, the second by p2.
 
 Documents are read once into blocks of bounded bytes, stored as arrays of block-local token numbers.  Distinct words of
-blocks, not tokens, are counted and given numbers by frequency.  Each block then sends its distinct bigrams and trigrams,
-with their training counts, to shards by a hash of the n-gram's context; contexts of frequent words are split further by
-their last word, so neither a frequent word nor a frequent pair makes a large shard.  A shard builds its trie: contexts as an
-Elias-Fano sequence, monotone Elias-Fano pointers to their successors, successors as one Elias-Fano sequence that is
-monotone because each context's words are written relative to a base that grows from context to context, and a quantised
-log-count for each.  The levels are one memory-mapped file.  A query finds its context, then its word by successor search
+blocks, not tokens, are counted and given numbers by frequency; as counts fall with the number, a table of the distinct
+counts (of which there are fewer than sqrt(2 N)) turns a number into its count.  Each block then sends its distinct trigrams,
+with their training counts, to shards by a hash of the middle word; frequent middle words are split further by the first
+word, and their bigrams go by both words, so neither a frequent word nor a frequent pair makes a large shard.  A shard
+builds its tries: contexts as an Elias-Fano sequence, monotone Elias-Fano pointers to their successors, successors as one
+Elias-Fano sequence that is monotone because each context's words are written relative to a base that grows from context
+to context, and a quantised log-count for each, from which the smoothed probability follows.  The levels are one memory-mapped file.  A query finds its context, then its word by successor search
 relative to that context's base.  Codes go back to the blocks, which add up the smoothed probabilities.
 
 Null and empty texts are one end mark.  Null ids are in no held-out fold.  With no training text every base probability is
@@ -229,7 +230,11 @@ def blocks(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         tokens = np.full(len(h) + len(n), END, np.uint64)
         tokens[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
         train = whole["train"].to_numpy()
-        vocabulary, local = np.unique(tokens, return_inverse=True)
+        vocabulary, local, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack better
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        vocabulary, local = vocabulary[order], rank[local]
         seen = np.bincount(local, np.repeat(train, n + 1), len(vocabulary)).astype(np.int64)
         one = lambda x, t: pa.array([x], pa.list_(t))
         return pa.RecordBatch.from_arrays([
@@ -252,19 +257,22 @@ def blocks(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
                                 "words array<long>, seen array<long>, tokens binary")
 
 
-def _numbered(read: DataFrame) -> tuple[DataFrame, int, int]:
-    """(word, number, count) of the training words, numbers by falling count; how many there are; how many tokens."""
+def _numbered(read: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(word, number) of the training words, numbers by falling count; the distinct counts, falling, and the first
+    number of each, with the number of words at the end."""
     counts = read.select(F.explode(F.arrays_zip("words", "seen")).alias("x")).where("x.seen > 0") \
         .groupBy(F.col("x.words").alias("word")).agg(F.sum("x.seen").alias("count"))
-    placed = written(counts.orderBy(F.desc("count"), "word").withColumn("pos", F.monotonically_increasing_id()))
+    placed = written(counts.orderBy(F.desc("count")).withColumn("pos", F.monotonically_increasing_id()))
     part = F.shiftright("pos", 33)
-    sizes = {r[0]: (r[1], r[2]) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)), F.sum("count")).collect()}
+    sizes = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).count().collect()}
     before, total = [], 0
     for p in range(max(sizes, default=0) + 1):
         before.append(str(total))
-        total += sizes.get(p, (0, 0))[0]
+        total += sizes.get(p, 0)
     number = F.get(F.split(F.lit(",".join(before)), ",").cast("array<long>"), part.cast("int")) + F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.select("word", number.alias("number"), "count"), total, sum(x[1] for x in sizes.values())
+    steps = sorted(((r[0], r[1]) for r in placed.groupBy(F.col("count").alias("c")).agg(F.count(F.lit(1))).collect()), reverse=True)
+    value, size = (np.array(x, np.int64) for x in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 2
+    return placed.select("word", number.alias("number")), value, np.concatenate(([0], np.cumsum(size)))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -274,80 +282,110 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: x.values if isinstance(x, pa.ListScalar) else x for name, x in cells.items()}
 
 
+UNKNOWN, START, PAIR = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD  # numbers of no word: not in training, no first word, a bigram's mark
+
+
 class _Grams:
-    """Distinct bigrams and trigrams of a block in the order in which they are sent, and where each token finds its own."""
-
-    def __init__(self, row: dict[str, pa.Array], shards: int, limit: float):
-        n_words = len(row["words"])
-        self.number = np.full(n_words, 0xFFFFFFFF, np.uint64)
-        self.count = np.zeros(n_words, np.int64)
-        if row["known"] is not None:
-            i, number, count = (x.to_numpy() for x in row["known"].flatten())
-            self.number[i], self.count[i] = number, count
-        self.local = _unpack(row["tokens"].as_py(), np.uint32).astype(np.uint64)
+    """Distinct n-grams of a block in the order in which they are sent, and where each token finds its own."""
+
+    def __init__(self, row: dict[str, pa.Array], steps: tuple[np.ndarray, np.ndarray], shards: int, limit: float):
+        value, first = steps
+        self.number = _unpack(row["numbers"].as_py(), np.uint32)
+        step = np.searchsorted(first, self.number, "right") - 1
+        self.count = np.concatenate((value, [0]))[np.minimum(step, len(value))]
+        number = np.concatenate((self.number, [START])).astype(np.uint64)
+        self.local = t = _unpack(row["tokens"].as_py(), np.uint32).astype(np.int64)
         self.lengths = row["lengths"].to_numpy()
-        self.train = row["train"].to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        t, m, train = self.local, np.uint64(max(n_words, 1)), self.train[owner]
-        self.owner, self.place, self.sent = owner, [], []
-        for order in (2, 3):
-            at = np.flatnonzero(owner[:-(order - 1)] == owner[order - 1:]) + order - 1 if len(t) >= order else np.zeros(0, np.int64)
-            key = t[at - 1] * m + t[at]
-            if order == 3:
-                key += t[at - 2] * m * m
-            distinct, back = np.unique(key, return_inverse=True)
-            seen = np.bincount(back, train[at], len(distinct)).astype(np.uint32)
-            w, v, u = distinct % m, distinct // m % m, distinct // (m * m)
-            bound = self.count[v] if order == 2 else np.minimum(self.count[u], self.count[v])
-            uid = self.number[u] if order == 3 else np.full(len(w), 0xFFFFFFFE, np.uint64)
-            context = mixed(mixed(uid + np.uint64(1)) + self.number[v])
-            # n-grams of a context with many training tokens are dealt out by their last word too.
-            parts = np.maximum(1, np.ceil(bound / limit)).astype(np.uint64)
-            shard = mixed(context + mixed(self.number[w]) % parts) % np.uint64(shards)
-            self.place.append((at, back))
-            self.sent.append((shard.astype(np.int64), uid.astype(np.uint32), self.number[v].astype(np.uint32), self.number[w].astype(np.uint32), seen))
-        # One order for both: by shard, bigrams first, then as np.unique left them.
-        self.offset = len(self.sent[0][0])
-        columns = [np.concatenate(c) for c in zip(*self.sent)]
-        self.order = np.argsort(columns[0], kind="stable")
-        self.columns = [c[self.order] for c in columns]
-
-    def scores(self, codes: np.ndarray, n_train: int, n_vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.owner = owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        train = row["train"].to_numpy(zero_copy_only=False)[owner]
+        m = len(number)
+        self.at = at = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        self.third = np.zeros(len(t), bool)  # tokens with two before them
+        self.third[at[1:]] = owner[at[1:] - 2] == owner[at[1:]] if len(at) else False
+        if len(at):
+            self.third[at[0]] = at[0] > 1 and owner[at[0] - 2] == owner[at[0]]
+        u = np.where(self.third[at], t[at - 2], m - 1)
+        key, self.back = np.unique((u * m + t[at - 1]) * m + t[at], return_inverse=True)
+        seen = np.bincount(self.back, train[at], len(key)).astype(np.uint32)
+        w, v, u = key % m, key // m % m, key // (m * m)
+        split = lambda x: np.ceil(self.count[x] / limit).astype(np.uint64)
+        parts = np.maximum(split(v), 1)
+        shard = mixed(mixed(number[v]) + mixed(number[u]) % parts) % np.uint64(shards)
+        sent = [(shard, number[u], number[v], number[w], seen)]
+        # Bigrams of middle words that are split.
+        self.hot = at[split(t[at - 1]) > 1]
+        key2, self.back2 = np.unique(t[self.hot - 1] * m + t[self.hot], return_inverse=True)
+        v, w = key2 // m, key2 % m
+        shard = mixed(mixed(number[v]) + mixed(number[w] + np.uint64(PAIR))) % np.uint64(shards)
+        sent.append((shard, np.full(len(v), PAIR, np.uint64), number[v], number[w], np.bincount(self.back2, train[self.hot], len(v)).astype(np.uint32)))
+        self.n_triples = len(key)
+        columns = [np.concatenate(c) for c in zip(*sent)]
+        self.order = np.argsort(columns[0].astype(np.uint32), kind="stable")
+        self.columns = [columns[0][self.order].astype(np.int64), *(c[self.order].astype(np.uint32) for c in columns[1:])]
+
+    def scores(self, codes: np.ndarray, pairs: np.ndarray, n_train: int, n_vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Base score, model score and number of known tokens of each document; codes in the order sent."""
-        found = np.zeros(len(self.order))
-        found[self.order] = restored(codes)
-        c = self.count[self.local.astype(np.int64)].astype(np.float64)
+        triple, pair_of = np.zeros(len(self.order)), np.zeros(len(self.order))
+        triple[self.order], pair_of[self.order] = restored(codes), restored(pairs)
+        c = self.count[self.local].astype(np.float64)
         p1 = (c + 0.5) / (n_train + 0.5 * (n_vocabulary + 1))
         p = p1.copy()
-        (at2, back2), (at3, back3) = self.place
         pair = np.zeros(len(c))  # training count of the pair that ends at a token
-        pair[at2] = found[:self.offset][back2]
-        p[at2] = (pair[at2] + MU2 * p1[at2]) / (c[at2 - 1] + MU2)
-        p[at3] = (found[self.offset:][back3] + MU3 * p[at3]) / (pair[at3 - 1] + MU3)
-        n = len(self.lengths)
-        total = lambda x: np.bincount(self.owner, x, n)
+        pair[self.at] = pair_of[:self.n_triples][self.back]
+        pair[self.hot] = triple[self.n_triples:][self.back2]
+        p[self.at] = (pair[self.at] + MU2 * p1[self.at]) / (c[self.at - 1] + MU2)
+        known = np.zeros(len(c))
+        known[self.at] = triple[:self.n_triples][self.back]
+        at = np.flatnonzero(self.third)
+        p[at] = (known[at] + MU3 * p[at]) / (pair[at - 1] + MU3)
+        total = lambda x: np.bincount(self.owner, x, len(self.lengths))
         return total(np.log10(p1)), total(np.log10(p)), total(c > 0).astype(np.int64)
 
 
+def _codes(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Trie codes of the n-grams: built from those with training counts, asked for all."""
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    count = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
+    context, word, kept = context[new], word[new], count > 0
+    with Trie(context[kept], word[kept], quantise(count[kept])) as trie:
+        code = trie.find(context, word)
+    out = np.empty(len(order), np.uint16)
+    out[order] = code[np.cumsum(new) - 1]
+    return out
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES,
           shard_size: int = SHARD) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score, score; learned from the rows for which
     ``training`` holds (or is null)."""
     id_type = docs.schema[id_col].dataType
     read = written(blocks(docs, training, id_col, text_col, size))
-    vocabulary, n_vocabulary, n_train = _numbered(read)
+    vocabulary, value, first = _numbered(read)
+    n_vocabulary, n_train = int(first[-1]), int((value * np.diff(first)).sum())
     n_tokens = read.select(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-2 * n_tokens // shard_size))
+    shards = max(1, -(-n_tokens // shard_size))
     limit = max(1.0, n_tokens / shards / 4)
-    used = read.select("block", F.posexplode("words").alias("i", "word"))
-    known = used.join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("i", "number", "count")).alias("known"))
-    ready = written(read.drop("seen").join(known, "block", "left"))
-    fields = ready.columns
+    steps = docs.sparkSession.sparkContext.broadcast((value, first))
+
+    def number(rows: pa.Table) -> pa.Table:
+        """The numbers of a block's words, in their order."""
+        i, known = rows["i"].to_numpy(), rows["number"].to_numpy()
+        out = np.full(rows["size"][0].as_py(), UNKNOWN, np.uint32)
+        out[i] = np.where(np.isnan(known), UNKNOWN, known).astype(np.uint32) if known.dtype.kind == "f" else known
+        return pa.table({"block": rows["block"].slice(0, 1), "numbers": pa.array([_pack(out)], pa.binary())})
+
+    used = read.select("block", F.size("words").alias("size"), F.posexplode("words").alias("i", "word"))
+    numbers = written(used.join(vocabulary, "word", "left").select("block", "size", "i", "number")
+                      .groupBy("block").applyInArrow(number, "block long, numbers binary"))
+    ready = read.drop("words", "seen").join(numbers, "block")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                grams = _Grams(row, shards, limit)
+                grams = _Grams(row, steps.value, shards, limit)
                 shard = grams.columns[0]
                 edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(shard) else [0]
                 for a, b in zip(edge[:-1], edge[1:]):
@@ -356,37 +394,32 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     def answer(rows: pa.Table) -> pa.Table:
         u, v, w, n = ([_unpack(x.as_py(), np.uint32) for x in rows[c]] for c in "uvwn")
-        sizes = [len(x) for x in u]
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in u])))
         u, v, w, n = (np.concatenate(x).astype(np.uint64) for x in (u, v, w, n))
-        context = mixed(mixed(u + np.uint64(1)) + v) >> np.uint64(8)
-        order = np.lexsort((w, context))
-        context, w, n = context[order], w[order], n[order]
-        new = np.concatenate(([True], (context[1:] != context[:-1]) | (w[1:] != w[:-1])))
-        count = np.add.reduceat(n.astype(np.int64), np.flatnonzero(new))
-        kept = count > 0
-        with Trie(context[new][kept], w[new][kept], quantise(count[kept])) as trie:
-            code = trie.find(context[new], w[new])
-        out = np.empty(len(order), np.uint16)
-        out[order] = code[np.cumsum(new) - 1]
-        edge = np.concatenate(([0], np.cumsum(sizes)))
-        return pa.table({"block": rows["block"], "shard": rows["shard"],
-                         "codes": pa.array([_pack(out[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
+        triple, pair = np.zeros(len(u), np.uint16), np.zeros(len(u), np.uint16)
+        at = np.flatnonzero(u != START)
+        triple[at] = _codes(mixed(mixed(u[at]) + v[at]) >> np.uint64(8), w[at], n[at])
+        at = np.flatnonzero(u != PAIR)  # for split middle words these are parts, and the blocks do not look at them
+        pair[at] = _codes(v[at], w[at], n[at])
+        packed = lambda x: pa.array([_pack(x[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary())
+        return pa.table({"block": rows["block"], "shard": rows["shard"], "codes": packed(triple), "pairs": packed(pair)})
 
     asked = ready.mapInArrow(send, "shard long, block long, u binary, v binary, w binary, n binary")
-    told = asked.groupBy("shard").applyInArrow(answer, "block long, shard long, codes binary") \
-        .groupBy("block").agg(F.collect_list(F.struct("shard", "codes")).alias("told"))
+    told = asked.groupBy("shard").applyInArrow(answer, "block long, shard long, codes binary, pairs binary") \
+        .groupBy("block").agg(F.collect_list(F.struct("shard", "codes", "pairs")).alias("told"))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                grams = _Grams(row, shards, limit)
-                codes = [_unpack(x["codes"], np.uint16) for x in sorted(row["told"].to_pylist() if row["told"] is not None else (), key=lambda x: x["shard"])]
-                base, model, n_known = grams.scores(np.concatenate(codes) if codes else np.zeros(0, np.uint16), n_train, n_vocabulary)
+                grams = _Grams(row, steps.value, shards, limit)
+                parts = sorted(row["told"].to_pylist() if row["told"] is not None else (), key=lambda x: x["shard"])
+                codes, pairs = (np.concatenate([np.zeros(0, np.uint16), *(_unpack(x[c], np.uint16) for x in parts)]) for c in ("codes", "pairs"))
+                base, model, n_known = grams.scores(codes, pairs, n_train, n_vocabulary)
                 yield pa.RecordBatch.from_arrays([
                     row["ids"], pa.array(grams.lengths), pa.array(n_known), pa.array(np.full(len(base), n_train)),
                     pa.array(base), pa.array(model)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return ready.join(told, "block", "left").select(*fields, "told") \
+    return ready.join(told, "block", "left") \
         .mapInArrow(add_up, f"id {id_type.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double") \
         .withColumnRenamed("id", id_col)
 
