@@ -116,8 +116,8 @@ def _class_ranges(items, ignore_case):
         else:
             raise PatternError(f"unsupported class member {op}")
     if ignore_case:
-        extra = [ord(p) for lo, hi in ranges if hi - lo < 2048
-                 for cp in range(lo, hi + 1) if cp < 0x10000 for p in _partners(chr(cp))]
+        # Whatever its width, a range brings in the partners of the characters in it.
+        extra = [ord(p) for ch, same in _fold_table().items() if any(lo <= ord(ch) <= hi for lo, hi in ranges) for p in same]
         ranges = ranges + [(c, c) for c in extra]
     return negated, _merge(ranges)
 

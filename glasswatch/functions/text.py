@@ -77,7 +77,18 @@ def basename(path: Column) -> Column:
 def version_parts(version: Column) -> Column:
     """Three numbers; a missing or non-numeric part counts as 0."""
     parts = F.split(F.coalesce(version, F.lit("")), r"\.")
-    return F.array(*[F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("double"), F.lit(0.0)) for i in (1, 2, 3)])
+    return F.array(*[F.coalesce(js_number(F.try_element_at(parts, F.lit(i))), F.lit(0.0)) for i in (1, 2, 3)])
+
+
+def js_number(text: Column) -> Column:
+    """ECMAScript's Number() of a string without signs of infinity: decimal or 0x, 0o, 0b literals; else null.
+
+    Spark's own cast also takes ``15d``, ``5f`` and ``Infinity``."""
+    flat = F.trim(text)
+    decimal = F.when(flat.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), flat.try_cast("double"))
+    based = [F.when(flat.rlike(f"^0[{p}{p.upper()}][{digits}]+$"), F.conv(F.substring(flat, 3, 2**31 - 1), base, 10).cast("double"))
+             for p, digits, base in (("x", "0-9a-fA-F", 16), ("o", "0-7", 8), ("b", "01", 2))]
+    return F.when(flat == "", F.lit(0.0)).otherwise(F.coalesce(decimal, *based))
 
 
 def version_outdated(current: Column, latest: Column) -> Column:

@@ -241,10 +241,10 @@ def is_sensitive(name: Column) -> Column:
     return out
 
 
-def sensitive_files(file_inventory: DataFrame, limit: int = 50) -> DataFrame:
-    """Sensitive names per directory, at most ``limit`` each (the report's size), by name."""
+def sensitive_files(file_inventory: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sensitive names per directory; with a ``limit`` the first so many by name, with their ``position``."""
     hits = file_inventory.where(is_sensitive(F.col("name"))).select("device", "dir", "name")
-    return newest_per_key(hits, ["device", "dir"], [F.col("name").asc()], limit)
+    return hits if limit is None else newest_per_key(hits, ["device", "dir"], [F.col("name").asc()], limit)
 
 
 def extension_broad(host_permissions: Column, permissions: Column) -> Column:
@@ -268,8 +268,8 @@ def resolve_extension_names(ext: DataFrame, messages: DataFrame) -> DataFrame:
                            .otherwise(F.coalesce("__m", "ext_id"))).select(*keys)
 
 
-def extension_inventory(ext: DataFrame, messages: DataFrame | None = None, limit: int = 100) -> DataFrame:
-    """Distinct extensions per device and browser (at most ``limit``, by id).
+def extension_inventory(ext: DataFrame, messages: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Distinct extensions per device and browser; with a ``limit`` the first so many by id.
 
     ``ext``: device, browser, ext_id, name, default_locale, host_permissions,
     permissions, kind, location.  Firefox counts profile extensions only and
@@ -280,7 +280,8 @@ def extension_inventory(ext: DataFrame, messages: DataFrame | None = None, limit
     kept = kept.withColumn("broad", ~fox & extension_broad(F.col("host_permissions"), F.col("permissions")))
     one = kept.groupBy("device", "browser", "ext_id").agg(
         F.min(F.struct("name", "default_locale", "broad")).alias("x")).select("device", "browser", "ext_id", "x.*")
-    one = newest_per_key(one, ["device", "browser"], [F.col("ext_id").asc()], limit)
+    if limit is not None:
+        one = newest_per_key(one, ["device", "browser"], [F.col("ext_id").asc()], limit)
     named = resolve_extension_names(one, messages) if messages is not None else one
     return named.select("device", "browser", "ext_id", "name", "broad")
 

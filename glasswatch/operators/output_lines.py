@@ -14,12 +14,13 @@ KEEP = 4096
 
 
 def reassemble(chunks: DataFrame, session: str = "session_id", seq: str = "seq", chunk: str = "chunk", *,
-               limit: int | None = LIMIT, keep: int = KEEP, block: int = 4096) -> DataFrame:
+               limit: int | None = None, keep: int = KEEP, block: int = 4096) -> DataFrame:
     """(session, unit, text): each unit is what is reviewed when a chunk with a
     newline arrives - the kept tail plus everything up to that chunk's last newline.
 
     Chunks are numbered with a block-wise running count, so a busy session is
-    split by unit.  ``limit=None`` keeps newline-free text whole."""
+    split by unit.  Newline-free text is kept whole; with a ``limit`` a longer
+    buffer keeps its last ``keep`` characters, as the terminal's does."""
     has = F.contains(F.col(chunk), F.lit("\n"))
     work = chunks.select(session, seq, F.coalesce(F.col(chunk), F.lit("")).alias(chunk))
     work = running_sum(work, session, seq, has.cast("long"), "__n", block)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasswatch.functions.regex_dialect import Pattern, PatternError
+from glasswatch.functions.text import js_number
 from glasswatch.rules.detectors import DETECTORS
 from glasswatch.rules.model import Detector
 
@@ -35,16 +36,11 @@ def pattern_problem(pattern: Column) -> Column:
             .when(pattern.rlike(ADJACENT_QUANTIFIER), "adjacent quantifier"))
 
 
-def _number(value: Column) -> Column:
-    text = F.trim(value)
-    return F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
-
-
 def validate_packs(packs: DataFrame) -> DataFrame:
     """One row per pack pattern with its normalised detector fields and ``problem`` (null = accepted)."""
     rules = packs.select("pack_no", F.col("pack_id"), F.posexplode("detectors").alias("rule_no", "d"))
     rows = rules.select("pack_no", "pack_id", "rule_no", "d", F.posexplode_outer("d.patterns").alias("pattern_no", "pattern"))
-    number = _number(F.col("d.threatId"))
+    number = js_number(F.col("d.threatId"))
     whole = number.isNotNull() & (number == F.floor(number))
     return rows.select(
         "pack_no", "rule_no", F.coalesce("pattern_no", F.lit(0)).alias("pattern_no"),

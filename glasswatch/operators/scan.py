@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from glasswatch.functions import refine as refiners
 from glasswatch.functions.regex_dialect import Pattern
-from glasswatch.functions.text import clip
+from glasswatch.functions.text import clip, is_blank
 from glasswatch.rules.catalog import THREATS
 from glasswatch.rules.content import CONTENT_RULES
 from glasswatch.rules.detectors import DETECTORS
@@ -218,12 +218,14 @@ class Matcher:
             tried, lambda y: (y["r"] == x["r"]) & (y["s"] < x["s"])))
 
 
-def match_rules(df: DataFrame, text: str, rules: Sequence, into: str, keep=None) -> DataFrame:
-    """Add ``into``: ARRAY<STRUCT<s, r, m>>, one entry per matching rule, in rule order."""
+def match_rules(df: DataFrame, text: str, rules: Sequence, into: str, keep=None, skip_blank: bool = False) -> DataFrame:
+    """Add ``into``: ARRAY<STRUCT<s, r, m>>, one entry per matching rule, in rule order.  ``skip_blank``: white space
+    alone matches nothing."""
     can, tried = f"__{into}_can", f"__{into}_try"
     matcher = Matcher(rules)
-    work = df.withColumn(can, matcher.pre.column(F.col(text)))
-    work = sealed(work, tried, matcher.tried(F.col(text), F.col(can), keep)).drop(can)
+    source = F.when(~is_blank(F.col(text)), F.col(text)) if skip_blank else F.col(text)
+    work = df.withColumn(can, matcher.pre.column(source))
+    work = sealed(work, tried, matcher.tried(source, F.col(can), keep)).drop(can)
     return work.withColumn(into, Matcher.first_per_rule(F.col(tried))).drop(tried)
 
 
@@ -325,7 +327,7 @@ def scan(df: DataFrame, text: str = "text", stage: str | Column = "prompt", *,
     if not rules:
         return df.withColumn(into, F.array().cast(FINDINGS_TYPE))
     raw = f"__{into}_raw"
-    work = match_rules(df, text, rules, raw, None if constant else _stage_filter(rules, stage))
+    work = match_rules(df, text, rules, raw, None if constant else _stage_filter(rules, stage), skip_blank=True)
     return findings_of(raw, rules, threats, work, into)
 
 
@@ -340,7 +342,7 @@ def review(df: DataFrame, text: str = "text", stage: str | Column = "prompt", *,
     if not constant:
         in_place = _stage_filter(dets, stage)
         keep = lambda r: (r >= n) | in_place(r)
-    work = match_rules(df, text, both, "__both", keep)
+    work = match_rules(df, text, both, "__both", keep, skip_blank=True)
     work = work.withColumn("__det", F.filter("__both", lambda x: x["r"] < n)) \
         .withColumn("__con", F.filter("__both", lambda x: x["r"] >= n)).drop("__both")
     work = findings_of("__det", dets, threats, work, "findings")
@@ -382,5 +384,5 @@ def scan_content(df: DataFrame, text: str = "text", categories: Sequence[str] |
     if not chosen:
         return df.withColumn(into, F.array().cast(CONTENT_TYPE))
     raw = f"__{into}_raw"
-    work = match_rules(df, text, chosen, raw)
+    work = match_rules(df, text, chosen, raw, skip_blank=True)
     return work.withColumn(into, content_hits(F.col(raw), chosen)).drop(raw)

@@ -13,18 +13,17 @@ from glasswatch.plans.skew import salted_join
 
 # Commands that only print files, and shell syntax that hides what is read.
 READERS = ("cat", "head", "tail", "less", "bat", "xxd", "nl", "more")
-MAX_PATHS = 8
 _UNCLEAR = Pattern(r"[|><`$(){}]|&&|\|\|").java()
 _READ = Pattern(r"^(?:" + "|".join(READERS) + r")\s+(.+)$").java()
 _SPACES = Pattern(r"\s+").java()
 
 
-def extract_read_paths(command: Column) -> Column:
-    """Files a plain reader command names: flags dropped, at most eight; anything unclear gives none."""
+def extract_read_paths(command: Column, most: int | None = None) -> Column:
+    """Files a plain reader command names, flags dropped; anything unclear gives none.  ``most`` keeps the first few only."""
     cmd = js_trim(F.coalesce(command, F.lit("")))
     tail = F.regexp_replace(cmd, r"\A(?:" + "|".join(READERS) + ")" + _SPACES, "")
     words = F.filter(F.split(tail, _SPACES), lambda w: (w != "") & ~w.startswith("-"))
-    return F.when(cmd.rlike(_READ) & ~cmd.rlike(_UNCLEAR), F.slice(words, 1, MAX_PATHS)) \
+    return F.when(cmd.rlike(_READ) & ~cmd.rlike(_UNCLEAR), words if most is None else F.slice(words, 1, most)) \
         .otherwise(F.array().cast("array<string>"))
 
 

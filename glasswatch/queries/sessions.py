@@ -97,12 +97,12 @@ def chunks(spark, sf):
         "text", F.concat(F.lit("\u001b[1m"), "text", F.lit("\u001b[0m\n")))
     at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / _WIDTH).cast("int"))
     return t.select(F.col("conv_id").alias("session_id"), "turn", "text", F.explode(at).alias("i")).select(
-        "session_id", (F.col("turn") * 100000 + F.col("i")).alias("seq"),
+        "session_id", (F.col("turn") * 1_000_000_000 + F.col("i")).alias("seq"),
         F.substr("text", F.col("i") * _WIDTH + 1, F.lit(_WIDTH)).alias("chunk"))
 
 
 _CHUNKS = (
-    "c AS (SELECT conv_id AS session_id, turn * 100000 + i AS seq, substr(text, i * 40 + 1, 40) AS chunk FROM (SELECT conv_id, turn, text, "
+    "c AS (SELECT conv_id AS session_id, turn * 1000000000 + i AS seq, substr(text, i * 40 + 1, 40) AS chunk FROM (SELECT conv_id, turn, text, "
     "unnest(range(0, CAST(floor((length(text) - 1) / 40) AS BIGINT) + 1)) AS i FROM (SELECT conv_id, turn, chr(27) || '[1m' || text || chr(27) || '[0m' || chr(10) AS text "
     "FROM conversations WHERE role = 'assistant')))")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,14 +19,29 @@ from glasswatch.streaming import state as ST
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint space; a temporary one only where none is set."""
+    """A new folder in the cluster's shared checkpoint space.  Only a local session, whose tasks all run here, may do
+    without one; on a cluster executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", "")
-    return f"{base.rstrip('/')}/glasswatch-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="glasswatch-")
+    if base:
+        return f"{base.rstrip('/')}/glasswatch-{uuid.uuid4().hex}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("streams need shared storage: set spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="glasswatch-")
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a table is stored as a folder of files, on any file system that Spark reads.  A missing one raises."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
 def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream: the files of its folder, or the one file that it is."""
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
@@ -75,7 +91,7 @@ def stream_output_lines(spark, sf):
         "text", F.concat(F.lit("\u001b[1m"), "text", F.lit("\u001b[0m\n")))
     at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / w).cast("int"))
     chunks = t.select(F.col("conv_id").alias("session_id"), "turn", "text", F.explode(at).alias("i")).select(
-        "session_id", (F.col("turn") * 100000 + F.col("i")).alias("seq"), F.substr("text", F.col("i") * w + 1, F.lit(w)).alias("chunk"))
+        "session_id", (F.col("turn") * 1_000_000_000 + F.col("i")).alias("seq"), F.substr("text", F.col("i") * w + 1, F.lit(w)).alias("chunk"))
     return drain(ST.line_stream(chunks).select("session_id", "unit", F.md5("text").alias("text_md5")), work_folder(spark))
 
 
@@ -86,12 +102,15 @@ def _alert_stream(spark, sf):
         e(fleet._THREAT).alias("threat_id"), e(fleet._RISK).alias("risk_level"))
 
 
-@query("stream_alert_counts")
+@query("stream_alert_counts", SQL["alert_windows_tumbling"])
 def stream_alert_counts(spark, sf):
-    """Closed hourly windows; the last ones stay open until the watermark passes them."""
-    counts = SA.alert_counts(_alert_stream(spark, sf), ["risk_level"])
-    out = drain(counts, work_folder(spark))
-    return fleet._stamp(out, "window_start", "window_end")
+    """Hourly windows: those that the stream has closed, and what a batch over the same table finds beyond them (windows
+    still open at the end, rows that came too late)."""
+    closed = drain(SA.alert_counts(_alert_stream(spark, sf), ["risk_level"]), work_folder(spark))
+    rest = SA.late_rows(fleet.alerts(spark, sf), closed, ["risk_level"]).select(
+        "window_start", (F.col("window_start") + F.expr("INTERVAL 1 HOUR")).alias("window_end"), "risk_level", F.col("late").alias("alerts"))
+    whole = closed.unionByName(rest).groupBy("window_start", "window_end", "risk_level").agg(F.sum("alerts").alias("alerts"))
+    return fleet._stamp(whole, "window_start", "window_end")
 
 
 @query("stream_alerts_deduplicated",

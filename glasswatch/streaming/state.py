@@ -44,8 +44,10 @@ def line_stream(chunks: DataFrame, session: str = "session_id", seq: str = "seq"
             buffer += piece
             cut = buffer.rfind("\n")
             if cut < 0:
-                if len(buffer) > limit:
-                    buffer = buffer[-keep:]
+                if len(buffer) > limit:  # what does not fit is reviewed as a unit of its own, not dropped
+                    units.append(unit)
+                    texts.append(buffer)
+                    buffer, unit = buffer[-keep:] if keep else "", unit + 1
                 continue
             units.append(unit)
             texts.append(buffer[:cut])

@@ -123,7 +123,7 @@ def test_alerts_carry_no_content(spark, cases):
 def test_read_paths(spark):
     for cmd, want in (("cat .env", [".env"]), ("cat .env | grep KEY", []), ("ls -la", []), ("head -n 3 a b", ["3", "a", "b"]), ("catx a", []),
                       ("cat a; rm b", ["a;", "rm", "b"]), ("cat a & b", ["a", "&", "b"]), ("cat a && b", []), ("cat", []), (None, []),
-                      ("  tail -f x  ", ["x"]), ("cat " + " ".join("abcdefghij"), list("abcdefgh"))):
+                      ("  tail -f x  ", ["x"]), ("cat " + " ".join("abcdefghij"), list("abcdefghij"))):
         assert one(spark, TC.extract_read_paths(F.lit(cmd).cast("string"))) == want, cmd
 
 
