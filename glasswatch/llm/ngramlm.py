@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from glasswatch.llm.common import lower_ascii, mixed, prefix_hash, query, range_hash, table, text_bytes, words, written
+from glasswatch.llm.common import lower_ascii, mixed, prefix_hash, query, range_hash, small, table, text_bytes, words, written
 
 BLOCK_BYTES = 8 << 20
 # Distinct n-grams that a shard holds on average.
-SHARD = 2_000_000
+SHARD = 1_500_000
 MU2, MU3 = 60.0, 1.0
 END = np.uint64(0x5E0D5E0D5E0D5E0D)
 _CODEC = "zstd"
@@ -220,15 +220,19 @@ def blocks(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     arrow_id = to_arrow_type(id_type)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(True)).alias("train"), F.col(text_col).cast("string").alias("text"))
 
-    def block(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(batches)
-        data, offsets = text_bytes(whole["text"])
+    def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+        """Word hashes with an end after each text, words of each text, bytes."""
+        data, offsets = text_bytes(column)
         start, end, first = words(data, offsets)
-        low = prefix_hash(lower_ascii(data))
-        h = range_hash(low, start, end)
+        h = range_hash(prefix_hash(lower_ascii(data)), start, end)
         n = np.diff(first)
         tokens = np.full(len(h) + len(n), END, np.uint64)
         tokens[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+        return tokens, n, len(data)
+
+    def block(number: int, held: list[tuple]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches([x[0] for x in held])
+        tokens, n = (np.concatenate([x[k] for x in held]) for k in (1, 2))
         train = whole["train"].to_numpy()
         vocabulary, local, times = np.unique(tokens, return_inverse=True, return_counts=True)
         order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack better
@@ -244,9 +248,10 @@ def blocks(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, used = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            held.append(batch)
-            used += batch.column(2).nbytes
+        for batch in small(batches, 2):
+            tokens, n, taken = hashed(batch.column(2))
+            held.append((batch.select(["id", "train"]), tokens, n))
+            used += taken
             if used >= size:
                 yield block(number, held)
                 number, held, used = number + 1, [], 0

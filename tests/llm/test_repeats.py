@@ -45,14 +45,16 @@ def test_query(spark):
     assert [got[x["doc_id"]] for x in docs] == want and any(w[1] for w in want)
 
 
-def test_equal_strings_have_equal_anchors():
+def test_each_string_has_its_first_least_seed():
     rng = np.random.default_rng(3)
-    seeds = rng.integers(0, 50, 500).astype(np.uint64)  # many ties
+    seeds = rng.integers(0, 50, 500).astype(np.uint64) << np.uint64(40)  # many ties
     width = 40 - 8 + 1
-    held = set(repeats.anchors(seeds, 40, 8).tolist())
-    for s in range(len(seeds) - width + 1):
-        window = seeds[s:s + width]
-        assert all(s + k in held for k in np.flatnonzero(window == window.min()).tolist())
+    said = {}
+    for at, least, most in zip(*repeats.anchors(seeds, 40, 8)):
+        for o in range(least, most + 1):
+            assert at - o not in said
+            said[at - o] = at
+    assert said == {s: s + int(seeds[s:s + width].argmin()) for s in range(len(seeds) - width + 1)}
 
 
 def test_edges(spark):
