@@ -44,9 +44,10 @@ def patch_status(text: Column) -> Column:
 
 def latest_device_state(reports: DataFrame, device: str = "device", ts: str = "ts",
                         fields: Sequence[str] | None = None) -> DataFrame:
-    """Identity, full and follow-up reports merged: the newest non-null value of each field.
+    """Identity, full and follow-up reports merged: the newest non-null value of each field, of equally new ones the
+    greatest.
 
     Pure aggregates, so a chatty device is combined before the shuffle."""
     names = fields or [c for c in reports.columns if c not in (device, ts)]
     return reports.groupBy(device).agg(
-        F.max(ts).alias(ts), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in names])
+        F.max(ts).alias(ts), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(ts, c))).alias(c) for c in names])

@@ -101,7 +101,8 @@ def scan_turn_arrays(df: DataFrame, turns: str = "turns", *, window: int = WINDO
 def foreign_context(df: DataFrame, session: str, order: str, tag: str) -> DataFrame:
     """Flag rows whose tag differs from the session's tag, i.e. the first tag seen in it.
 
-    The first tag is an aggregate (combined map-side), not a window."""
-    first = df.where(F.col(tag).isNotNull()).groupBy(session).agg(F.min_by(tag, order).alias("session_tag"))
+    The first tag is an aggregate (combined map-side), not a window; of tags that
+    come first together it is the smallest."""
+    first = df.where(F.col(tag).isNotNull()).groupBy(session).agg(F.min_by(tag, F.struct(order, tag)).alias("session_tag"))
     return salted_join(df, first, [session], salt_on=[session, order]).withColumn(
         "foreign_tag", F.coalesce(F.col(tag) != F.col("session_tag"), F.lit(False)))

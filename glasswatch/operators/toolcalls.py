@@ -32,6 +32,11 @@ def mcp_server_of(tool: Column) -> Column:
     return F.when(tool.startswith("mcp__"), F.coalesce(F.try_element_at(F.split(tool, "__"), F.lit(2)), F.lit("")))
 
 
+def plain_json(text: Column) -> Column:
+    """JSON whose characters are written as themselves: escapes cannot hide a phrase.  Text that is no JSON stays."""
+    return F.when(F.contains(text, F.lit("\\u")), F.coalesce(F.to_json(F.try_parse_json(text)), text)).otherwise(text)
+
+
 def route(calls: DataFrame) -> DataFrame:
     """Add ``route`` (read, bash, mcp, other), ``server``, ``paths`` and ``mcp_decision``.
 
@@ -63,7 +68,7 @@ def review_calls(calls: DataFrame, files: DataFrame, **rules) -> DataFrame:
     seen_files = review(needed, "text", "file", **rules).drop("text")
     from_files = salted_join(wanted, seen_files, ["path"], "inner", salt_on=["call_id", "pos"]).drop("path")
     args = routed.where(active & (F.col("route") == "mcp") & (F.col("mcp_decision") == "allow")).select(
-        "call_id", "policy", F.lit(0).alias("pos"), F.col("tool_input").alias("text"))
+        "call_id", "policy", F.lit(0).alias("pos"), plain_json(F.col("tool_input")).alias("text"))
     from_args = review(args, "text", "prompt", **rules).drop("text")
     seen = decide_reviewed(from_files.unionByName(from_args), "policy")
     rank = F.when(F.col("decision") == "deny", 3).when(F.col("decision") == "ask", 2).otherwise(1)

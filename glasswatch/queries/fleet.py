@@ -126,8 +126,8 @@ def reports(spark, sf):
         e("CASE WHEN event_type = 'error' THEN CAST(event_id % 70000 AS INT) * 7 END").alias("av_state"))
 
 
-@query("latest_device_state", f"WITH {_REPORT} SELECT device, {_TS.format('max(ts)')} AS ts, arg_max(os, ts) FILTER (os IS NOT NULL) AS os, "
-                              "arg_max(app_version, ts) FILTER (app_version IS NOT NULL) AS app_version, arg_max(av_state, ts) FILTER (av_state IS NOT NULL) AS av_state FROM rep GROUP BY device")
+@query("latest_device_state", f"WITH {_REPORT} SELECT device, {_TS.format('max(ts)')} AS ts, arg_max(os, struct_pack(t := ts, v := os)) FILTER (os IS NOT NULL) AS os, "
+                              "arg_max(app_version, struct_pack(t := ts, v := app_version)) FILTER (app_version IS NOT NULL) AS app_version, arg_max(av_state, struct_pack(t := ts, v := av_state)) FILTER (av_state IS NOT NULL) AS av_state FROM rep GROUP BY device")
 def latest_device_state(spark, sf):
     return _stamp(PO.latest_device_state(reports(spark, sf)), "ts")
 

@@ -79,7 +79,7 @@ def injection_persistence(spark, sf):
 
 
 @query("context_mixing",
-       "WITH f AS (SELECT user_id, arg_min(event_type, ts) AS tag FROM events GROUP BY user_id) SELECT e.event_id, e.user_id, f.tag AS session_tag, "
+       "WITH f AS (SELECT user_id, arg_min(event_type, struct_pack(t := ts, v := event_type)) AS tag FROM events GROUP BY user_id) SELECT e.event_id, e.user_id, f.tag AS session_tag, "
        "e.event_type <> f.tag AS foreign_tag FROM events e JOIN f USING (user_id)")
 def context_mixing(spark, sf):
     return SE.foreign_context(table(spark, sf, "events"), "user_id", "ts", "event_type").select(

@@ -44,18 +44,21 @@ def late_rows(all_alerts: DataFrame, emitted: DataFrame, by: Sequence[str], widt
 
 def with_policy_refresh(events: DataFrame, load_policies: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None],
                         checkpoint: str, on: str = "tenant", **trigger) -> StreamingQuery:
-    """Join each micro-batch to policies read anew; a failed load keeps the last good ones."""
-    last: list[DataFrame] = []
+    """Join each micro-batch to policies read anew; a failed load keeps the last good ones.
+
+    Each good load is written as a table beside the checkpoint (shared storage), so what is kept does not depend on a source that
+    may be gone."""
+    last: list[str] = []
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        path = f"{checkpoint.rstrip('/')}-policies/{batch_id}"
         try:
-            fresh = load_policies()
-            fresh.schema  # noqa: B018 - resolves the source now
-            last[:] = [fresh]
+            load_policies().write.mode("overwrite").parquet(path)
+            last[:] = [path]
         except Exception:
             if not last:
                 raise
-        handle(batch.join(last[0], on, "left"), batch_id)
+        handle(batch.join(batch.sparkSession.read.parquet(last[0]), on, "left"), batch_id)
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()

@@ -63,13 +63,15 @@ def test_alert_windows_late_and_audit(spark, tmp_path):
 def test_policy_refresh_keeps_last_good(spark, tmp_path):
     ev = spark.range(4).select(F.lit("t").alias("tenant"), "id")
     live = stream(spark, ev, str(tmp_path / "ev"), 2)
-    calls, seen = [], []
+    calls, seen, source = [], [], tmp_path / "policies.json"
+    source.write_text('{"tenant": "t", "policy": "block"}')
 
     def load():
         calls.append(1)
         if len(calls) > 1:
+            source.unlink(missing_ok=True)  # gone, also for whoever would read it again
             raise OSError("unreachable")
-        return spark.createDataFrame([("t", "block")], "tenant string, policy string")
+        return spark.read.schema("tenant string, policy string").json(str(source))
 
     q = SA.with_policy_refresh(live, load, lambda b, i: seen.extend(r.policy for r in b.collect()), str(tmp_path / "state"))
     q.awaitTermination()
