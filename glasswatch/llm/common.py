@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from glasswatch.sources.readers import table
@@ -63,6 +64,37 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data, offsets - offsets[0]
 
 
+def slices(column: pa.Array, most: int = 4 << 20):
+    """(first, length) of runs of texts of at most ``most`` bytes together (or one text), so that work arrays stay
+    small whatever the batch."""
+    sizes = pc.binary_length(column.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False)
+    first, used = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if used and used + n > most:
+            yield first, k - first
+            first, used = k, 0
+        used += n
+    if len(sizes) > first:
+        yield first, len(sizes) - first
+
+
+def small(batches, column: int):
+    """The batches, cut where the texts of one column get long together."""
+    for batch in batches:
+        for first, n in slices(batch.column(column)):
+            yield batch.slice(first, n)
+
+
+def squeezed(raw: bytes) -> bytes:
+    """Bytes packed for a shuffle: their number, then Zstandard."""
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def unsqueezed(packed: bytes) -> bytes:
+    size = int.from_bytes(packed[:8], "little")
+    return pa.decompress(packed[8:], size, "zstd", asbytes=True) if size else b""
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
-from glasswatch.llm.common import query, shared_folder, table, text_bytes
+from glasswatch.llm.common import query, shared_folder, slices, small, table, text_bytes, written
 
 RATE = 0.08
 BLOCK_BYTES = 1 << 20
@@ -160,7 +160,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known = Items(sent.value, rate)
-            for batch in batches:
+            for batch in small(batches, 1):
                 raw, edge, origin, data, offsets = normal(batch.column(1))
                 found = []
                 for i in range(len(batch)):
@@ -185,15 +185,24 @@ def contains(text: Column, sent: Broadcast, rate: float = RATE) -> Column:
     def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Items(sent.value, rate)
         for batch in batches:
-            raw, edge, *_ = normal(batch)
-            yield pa.array([bool(known.search(raw[edge[i]:edge[i + 1]])) for i in range(len(batch))], pa.bool_())
+            found = []
+            for first, n in slices(batch):
+                raw, edge, *_ = normal(batch.slice(first, n))
+                found += [bool(known.search(raw[edge[i]:edge[i + 1]])) for i in range(n)]
+            yield pa.array(found, pa.bool_())
     return hit(text.cast("string"))
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
-    """The documents that contain no item, all columns kept."""
-    for block in blocks(items):
-        docs = docs.where(~contains(F.col(text_col), docs.sparkSession.sparkContext.broadcast(block), rate))
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that contain no item, all columns kept.  Between blocks of items the rest is written, so one block
+    is broadcast at a time."""
+    sent = None
+    for block in blocks(items, size=size):
+        if sent is not None:
+            docs = written(docs)
+            sent.unpersist()
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.where(~contains(F.col(text_col), sent, rate))
     return docs
 
 

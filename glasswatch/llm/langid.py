@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasswatch.llm.common import lower_ascii, query, table, text_bytes, words
+from glasswatch.llm.common import lower_ascii, query, small, table, text_bytes, words
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -60,7 +60,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Data
     """Counts (lang, bucket, n) over all documents that have a language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches, 1):
             text, bucket, count, _ = trigrams(batch.column(1))
             langs = batch.column(0).dictionary_encode()
             of = langs.indices.to_numpy()[text]
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, chance = sent.value
         known = Model(langs, chance)
-        for batch in batches:
+        for batch in small(batches, 1):
             share = proportions(known, batch.column(1))
             lettered = batch.column(2).to_pylist()
             top = share.argmax(1) if langs else np.zeros(len(share), int)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from glasswatch.llm.common import lower_ascii, mixed, prefix_hash, powers, query, range_hash, table, text_bytes, words
+from glasswatch.llm.common import lower_ascii, mixed, prefix_hash, powers, query, range_hash, slices, table, text_bytes, words
 
 # Function words of the languages of the corpus: fixed values.
 STOPWORDS = ("the of and to in a is that it for on was with be by are das der die und ist von im ein eine zu nicht mit den auf für "
@@ -115,8 +115,8 @@ def measured_column(text: Column) -> Column:
     @arrow_udf(", ".join(f"{c} long" for c in COUNTS))
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = counts(batch)
-            yield pa.StructArray.from_arrays([pa.array(found[c], pa.int64()) for c in COUNTS], COUNTS)
+            found = [counts(batch.slice(*part)) for part in slices(batch)] or [counts(batch)]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([f[c] for f in found]), pa.int64()) for c in COUNTS], COUNTS)
     return measured(text.cast("string"))
 
 

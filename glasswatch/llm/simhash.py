@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasswatch.llm.common import lower_ascii, query, table, text_bytes, words, written
+from glasswatch.llm.common import lower_ascii, query, small, table, text_bytes, words, written
 from glasswatch.llm.components import components
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
@@ -74,7 +74,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(batch.column(1)).view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")) \

@@ -56,8 +56,9 @@ def test_edges_and_blocks(spark):
     docs = edge_docs(spark)
     got = sorted(str((r.doc_id, r.item_id, r.distance)) for r in D.matches(docs, items).collect())
     assert got == ["(4, None, 0)", "(None, 1, 0)", "(None, 3, 0)"]
-    assert [len(b) for b in D.blocks(items, size=1)] == [1, 1, 1, 1, 1] or sum(len(b) for b in D.blocks(items, size=1)) == 5
+    assert sum(len(b) for b in D.blocks(items, size=1)) == 5 and len(list(D.blocks(items, size=1))) > 2
     kept = D.clean(docs, items)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "2", "5", "6"]
     assert D.matches(docs.limit(0), items).collect() == [] and D.matches(docs, items.limit(0)).collect() == []
     assert D.clean(docs, items.limit(0)).count() == 7
+    assert sorted(str(r.doc_id) for r in D.clean(docs, items, size=1).collect()) == ["1", "2", "2", "5", "6"]
