@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from glasswatch.llm.common import prefix_hash, query, range_hash, table, text_bytes, written
+from glasswatch.llm.common import prefix_hash, query, range_hash, squeezed, table, text_bytes, unsqueezed, written
 
 PLAIN, ARTICLE, FURNITURE = 0, 1, 2
 # What elements and names in class, id and role mean.
@@ -221,17 +221,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     common = narrow.join(partners(urls), "url").select("key", marks("lines", "other").alias("common"))
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [squeezed(x.encode()) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(packed, pa.binary())], ["id", "url", "key", "page"])
+
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, both in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = lines(page)
+            for packed, both in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = lines(unsqueezed(packed).decode())
                 article = any(meaning == ARTICLE for _, meaning in found)
                 out.append("\n\n".join(x for (x, meaning), is_shared in zip(found, both) if
                                        meaning == ARTICLE or meaning == PLAIN and not article and not is_shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
-    return base.join(common, "key").select("id", "url", "html", "common") \
+    pages_ = base.select("id", "url", "key", "html").mapInArrow(squeeze, f"id {id_type}, url string, key long, page binary")
+    return pages_.join(common, "key").select("id", "url", "page", "common") \
         .mapInArrow(texts, f"id {id_type}, url string, text string").withColumnRenamed("id", id_col)
 
 
