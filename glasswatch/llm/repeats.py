@@ -4,8 +4,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 position with the least hash of SEED_BYTES bytes among those in the string.  Two copies of a string have the anchor at the
 same offset, so only strings around anchors of equal surroundings need comparing:
 
-1. Each anchor is keyed by the bytes that all strings through it have in common: once for strings that reach far to its
-   left, once for those that reach to its right.  Keys seen once cannot repeat and are left out.
+1. Each anchor is keyed by the bytes that all its strings have in common: once for strings that reach far to its left, once
+   for those that reach to its right.  Keys seen once cannot repeat and are left out.
 2. Anchors with equal keys and equal whole surroundings repeat each other completely; one of them stands for all.
 3. Where the surroundings of a key differ, hashes of the LENGTH-byte strings at each offset tell which offsets repeat.
    Keys with very many different surroundings are counted by Spark, string by string, rather than in one task.
@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from glasswatch.llm.common import mixed, powers, prefix_hash, query, range_hash, table, text_bytes, whole_groups, written
+from glasswatch.llm.common import mixed, powers, prefix_hash, query, range_hash, small, squeezed, table, text_bytes, unsqueezed, whole_groups, written
 
 LENGTH, SEED_BYTES = 400, 32
 # Different surroundings of one key that a task compares; keys with more are counted by Spark.
@@ -51,14 +50,20 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def anchors(seeds: np.ndarray, length: int = LENGTH, seed: int = SEED_BYTES) -> np.ndarray:
-    """Positions that hold the least seed hash of some string of ``length`` bytes; all of them if tied."""
-    width = length - seed + 1
-    least = _sliding(seeds, width, True)
-    if not len(least):
-        return np.zeros(0, np.int64)
-    framed = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
-    return np.flatnonzero(_sliding(framed, width, False) == seeds)
+def anchors(seeds: np.ndarray, length: int = LENGTH, seed: int = SEED_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The position with the least seed hash of each string of ``length`` bytes, the first of equals: each anchor, and
+    the least and most offset it has in the strings whose anchor it is (which follow one another)."""
+    width, out = length - seed + 1, []
+    # The low bits of a hash make room for the place, so the least of them names it; long texts go in stretches.
+    mask = np.uint64((1 << 26) - 1)
+    for at in range(0, len(seeds) - width + 1, 1 << 25):
+        part = seeds[at:at + (1 << 25) + width - 1]
+        least = _sliding(part & ~mask | np.arange(len(part), dtype=np.uint64), width, True)
+        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        last = np.concatenate((first[1:], [len(least)])) - 1
+        place = (least[first] & mask).astype(np.int64)
+        out.append((place + at, place - last, place - first))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def sides(length: int = LENGTH, seed: int = SEED_BYTES) -> list[tuple[int, int]]:
@@ -68,7 +73,7 @@ def sides(length: int = LENGTH, seed: int = SEED_BYTES) -> list[tuple[int, int]]
 
 
 def _anchor_rows(column: pa.Array, length: int, seed: int) -> list[np.ndarray]:
-    """side, cls, ctx, key, pos, lo, hi of the anchors of a batch of texts."""
+    """cls, ctx, key and place of the anchors of a batch of texts."""
     data, offsets = text_bytes(column)
     prefix = prefix_hash(data)
     back = powers(_INVERSE, len(prefix))
@@ -78,115 +83,117 @@ def _anchor_rows(column: pa.Array, length: int, seed: int) -> list[np.ndarray]:
         s, e = int(offsets[i]), int(offsets[i + 1])
         # Seeds are hashed as differences of prefix sums, brought to one base.
         seeds = mixed((prefix[s + seed:e + 1] - prefix[s:e + 1 - seed]) * back[s:e + 1 - seed])
-        at = anchors(seeds, length, seed) + s
+        at, least, most = anchors(seeds, length, seed)
         for side, (low, high) in enumerate(sides(length, seed)):
-            core_lo, core_hi = at - low, at + length - high
-            a = at[(core_lo >= s) & (core_hi <= e)]
-            lo, hi = np.maximum(a - high, s), np.minimum(a + length - low, e)
-            a, lo, hi = (x[hi - lo >= length] for x in (a, lo, hi))
-            cls = range_hash(prefix, a - low, a + length - high, back)
-            ctx = mixed(range_hash(prefix, lo, hi, back) + (a - lo).astype(np.uint64))
-            out.append((np.full(len(a), side), cls.view(np.int64), ctx.view(np.int64), np.full(len(a), key[i]).view(np.int64), a - s, lo - s, hi - s))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 7
-
-
-def _windows(rows: pa.Table, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, offset and hash of every string of ``length`` bytes around the anchors of some surroundings."""
+            lo, hi = np.maximum(least, low), np.minimum(most, high)
+            here = lo <= hi
+            a, lo, hi = at[here] + s, lo[here], hi[here]
+            cls = mixed(range_hash(prefix, a - low, a + length - high, back) + np.uint64(side))
+            place = (a - s) << 24 | lo << 12 | hi
+            ctx = mixed(range_hash(prefix, a - hi, a + length - lo, back) + (lo << 12 | hi).astype(np.uint64))
+            out.append((cls.view(np.int64), ctx.view(np.int64), np.full(len(a), key[i]).view(np.int64), place))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+
+
+def _windows(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, offset and hash of every string of ``length`` bytes in some surroundings."""
     data, offsets = text_bytes(rows["bytes"].combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
     prefix = prefix_hash(data)
-    side, left = rows["side"].to_numpy(), rows["left"].to_numpy()
-    limits = np.array(sides(length, seed))[side]
-    right = np.diff(offsets) - left
-    low, high = np.maximum(limits[:, 0], length - right), np.minimum(limits[:, 1], left)
-    n = np.maximum(high - low + 1, 0)
+    low, high = rows["lo"].to_numpy(), rows["hi"].to_numpy()
+    n = high - low + 1
     row = np.repeat(np.arange(len(rows)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    start = (offsets[:-1] + left)[row] - offset
-    return row, offset, range_hash(prefix, start, start + length, powers(_INVERSE, len(prefix)))
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = offsets[:-1][row] + step
+    return row, high[row] - step, range_hash(prefix, start, start + length, powers(_INVERSE, len(prefix)))
 
 
-def content_key(text: Column) -> Column:
-    """64-bit hash of the bytes of each text."""
-    @arrow_udf("long")
-    def key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            data, offsets = text_bytes(batch)
-            yield pa.array(range_hash(prefix_hash(data), offsets[:-1], offsets[1:]).view(np.int64))
-    return key(text)
+def packed_texts(rows: DataFrame, text_col: str) -> DataFrame:
+    """The rows with their text compressed (binary, same name) and ``key``, the 64-bit hash of its bytes."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString() if f.name != text_col else 'binary'}" for f in rows.schema.fields)
+    columns = rows.columns
+    place = columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, place):
+            data, offsets = text_bytes(batch.column(place))
+            key = range_hash(prefix_hash(data), offsets[:-1], offsets[1:]).view(np.int64)
+            raw = data.tobytes()
+            packed = pa.array([squeezed(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if k == place else c for k, c in enumerate(batch.columns)] + [pa.array(key)], [*columns, "key"])
+
+    return rows.mapInArrow(run, f"{kinds}, key long")
 
 
 def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, seed: int = SEED_BYTES, members: int = MEMBERS) -> DataFrame:
     """(key, lo, hi): byte ranges to remove from the texts of each content key, not merged."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    names = ("side", "cls", "ctx", "key", "pos", "lo", "hi")
+    names = ("cls", "ctx", "key", "place")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = _anchor_rows(batch.column(0), length, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *map(pa.array, rows[1:])], list(names))
-
-    found = texts.mapInArrow(find, "side int, cls long, ctx long, key long, pos long, lo long, hi long")
-    # Keys of one place only - however often its text is repeated - cannot repeat.
-    spread = found.groupBy("side", "cls").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("pos").alias("p0"), F.max("pos").alias("p1")) \
-        .where("k0 <> k1 OR p0 <> p1").select("side", "cls")
-    held = written(found.join(spread, ["side", "cls"], "left_semi"))
-    group = ["side", "cls", "ctx"]
-    alike = held.groupBy(*group).agg(F.min(F.struct("key", "pos", "lo", "hi")).alias("one"), F.min("key").alias("k0"), F.max("key").alias("k1"),
-                                     F.min("pos").alias("p0"), F.max("pos").alias("p1")) \
-        .select(*group, "one.*", F.expr("k0 <> k1 OR p0 <> p1").alias("whole"))
-    alike = written(alike)
-    several = alike.groupBy("side", "cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        for batch in small(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _anchor_rows(batch.column(0), length, seed)], list(names))
+
+    found = texts.mapInArrow(find, "cls long, ctx long, key long, place long")
+    # Keys that occur once cannot repeat.
+    spread = found.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
+    held = written(found.join(spread, "cls", "left_semi").distinct())
+    group = ["cls", "ctx"]
+    spot = F.struct("key", "place")
+    alike = written(held.groupBy(*group).agg(F.min(spot).alias("one"), F.max(spot).alias("other"))
+                    .select(*group, "one.*", (F.col("one") != F.col("other")).alias("whole")))
+    several = alike.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Surroundings that are not alone under their key, with their bytes from the one text that stands for them.
-    wanted = alike.join(several, ["side", "cls"]).groupBy("key").agg(F.collect_list(F.struct(*group, "n", "pos", "lo", "hi")).alias("wanted"))
-    keyed = texts.where(F.octet_length("text") >= length).select(content_key(F.col("text")).alias("key"), "text")
+    wanted = alike.join(several, "cls").select("key", "n", F.struct(*group, "place").alias("w"))
+    keyed = packed_texts(texts.where(F.octet_length("text") >= length), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = text.encode()
-                out += [(w["side"], w["cls"], w["ctx"], w["n"], w["pos"] - w["lo"], raw[w["lo"]:w["hi"]]) for w in wanted]
-            cols = list(zip(*out)) or [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["side", "cls", "ctx", "n", "left", "bytes"])
+                raw = unsqueezed(text)
+                for w in wanted:
+                    at, lo, hi = w["place"] >> 24, w["place"] >> 12 & 4095, w["place"] & 4095
+                    out.append((w["cls"], w["ctx"], lo, hi, raw[at - hi:at - lo + length]))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.binary()))], [*group, "lo", "hi", "bytes"])
 
-    around = written(keyed.join(wanted, "key").select("text", "wanted")
-                     .mapInArrow(cut, "side int, cls long, ctx long, n long, left long, bytes binary"))
+    def around(some: DataFrame) -> DataFrame:
+        return keyed.join(some.groupBy("key").agg(F.collect_list("w").alias("wanted")), "key").select("text", "wanted") \
+            .mapInArrow(cut, "cls long, ctx long, lo long, hi long, bytes binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in whole_groups(batches, ("side", "cls")):
-            row, offset, h = _windows(rows, length, seed)
-            side, cls, ctx = (rows[c].to_numpy()[row] for c in group)
-            order = np.lexsort((ctx, h, offset, cls, side))
+        for rows, _ in whole_groups(batches, ("cls",)):
+            row, offset, h = _windows(rows, length)
+            cls, ctx = (rows[c].to_numpy()[row] for c in group)
+            order = np.lexsort((ctx, h, offset, cls))
             a, b = order[:-1], order[1:]
-            equal = (side[a] == side[b]) & (cls[a] == cls[b]) & (offset[a] == offset[b]) & (h[a] == h[b])
+            equal = (cls[a] == cls[b]) & (offset[a] == offset[b]) & (h[a] == h[b])
             # Rows of one surrounding may come more than once (copies of the text); they are one.
-            other = ctx[a] != ctx[b]
-            start = np.concatenate(([True], ~equal))
-            run = np.cumsum(start) - 1
-            differs = np.zeros(run[-1] + 1 if len(run) else 0, bool)
-            differs[run[1:][equal & other]] = True
-            hit = order[differs[run]] if len(order) else order
-            yield pa.RecordBatch.from_arrays([pa.array(side[hit]), pa.array(cls[hit]), pa.array(ctx[hit]), pa.array(offset[hit])], [*group, "o"])
+            run = np.cumsum(np.concatenate(([True], ~equal))) - 1
+            differs = np.zeros(run[-1] + 1, bool)
+            differs[run[1:][equal & (ctx[a] != ctx[b])]] = True
+            hit = order[differs[run]]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(ctx[hit]), pa.array(offset[hit])], [*group, "o"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            row, offset, h = _windows(rows, length, seed)
-            side, cls, ctx = (rows[c].to_numpy()[row] for c in group)
-            yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(cls), pa.array(ctx), pa.array(offset), pa.array(h.view(np.int64))], [*group, "o", "h"])
-
-    few = around.where(F.col("n") <= members).repartition("side", "cls").sortWithinPartitions("side", "cls") \
-        .mapInArrow(compare, "side int, cls long, ctx long, o long")
-    strings = around.where(F.col("n") > members).mapInArrow(explode, "side int, cls long, ctx long, o long, h long").distinct()
-    twice = strings.groupBy("side", "cls", "o", "h").agg(F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c0 <> c1").select("side", "cls", "o", "h")
-    many = strings.join(twice, ["side", "cls", "o", "h"], "left_semi").select(*group, "o")
+            row, offset, h = _windows(rows, length)
+            cls, ctx = (rows[c].to_numpy()[row] for c in group)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(ctx), pa.array(offset), pa.array(h.view(np.int64))], [*group, "o", "h"])
+
+    few = around(wanted.where(F.col("n") <= members)).repartition("cls").sortWithinPartitions("cls") \
+        .mapInArrow(compare, "cls long, ctx long, o long")
+    strings = around(wanted.where(F.col("n") > members)).mapInArrow(explode, "cls long, ctx long, o long, h long").distinct()
+    twice = strings.groupBy("cls", "o", "h").agg(F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c0 <> c1").select("cls", "o", "h")
+    many = strings.join(twice, ["cls", "o", "h"], "left_semi").select(*group, "o")
     edges = few.unionByName(many).groupBy(*group).agg(F.min("o").alias("o0"), F.max("o").alias("o1"))
     # All strings of one side overlap, so what repeats on a side is one range.
     verdict = alike.select(*group, "whole").join(edges, group, "left").where(F.col("whole") | F.col("o0").isNotNull())
+    at, low, high = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(F.lit(4095)), F.col("place").bitwiseAND(F.lit(4095))
     return held.join(verdict, group).select(
-        "key", F.when(F.col("whole"), F.col("lo")).otherwise(F.col("pos") - F.col("o1")).alias("lo"),
-        F.when(F.col("whole"), F.col("hi")).otherwise(F.col("pos") - F.col("o0") + length).alias("hi")).distinct()
+        "key", (at - F.when(F.col("whole"), high).otherwise(F.col("o1"))).alias("lo"),
+        (at - F.when(F.col("whole"), low).otherwise(F.col("o0")) + length).alias("hi")).distinct()
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
@@ -202,10 +209,8 @@ def _merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED_BYTES, members: int = MEMBERS) -> DataFrame:
     """One row per document: id, n_bytes, removed (array of byte ranges), kept (binary)."""
     ranges = repeated_ranges(docs, text_col, length, seed, members).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
-        .select("id", "text", content_key(F.col("text")).alias("key"))
-    copies = docs.select(content_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key")).groupBy("key").count().where("count > 1") \
-        .select("key", F.lit(True).alias("copied"))
+    keyed = packed_texts(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "text")
+    copies = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     known = ranges.join(copies, "key", "full")
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -213,7 +218,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         for batch in batches:
             sizes, spans, kept = [], [], []
             for text, ranges, copied in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                raw = text.encode()
+                raw = unsqueezed(text)
                 gone = [[0, len(raw)]] if copied and len(raw) >= length else _merged([(r["lo"], r["hi"]) for r in ranges or ()])
                 edge = [0, *(x for r in gone for x in r), len(raw)]
                 sizes.append(len(raw))
