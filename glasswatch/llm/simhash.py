@@ -35,15 +35,11 @@ GENERATOR = 0b110001110101  # of the code, as a polynomial: fixed value
 PART = 4096
 
 
-def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprint of each text."""
+def normal_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased words with single spaces between them, so that a shingle is a slice; where each begins (one number
+    more than words), and the first word of each text (n + 1 numbers)."""
     data, offsets = text_bytes(column)
     start, end, first = words(data, offsets)
-    n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
-    if not len(start):
-        return out
-    # Lower-cased words with single spaces between them: a shingle is a slice.
     size = end - start + 1
     place = np.concatenate(([0], np.cumsum(size)))
     joined = np.full(place[-1], 0x20, np.uint8)
@@ -51,6 +47,16 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     inside = np.ones(place[-1], bool)
     inside[place[1:] - 1] = False
     joined[inside] = lower_ascii(data)[take[inside]]
+    return joined, place, first
+
+
+def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit fingerprint of each text."""
+    joined, place, first = normal_words(column)
+    n = len(first) - 1
+    out = np.zeros(n, np.uint64)
+    if not len(joined):
+        return out
     raw, begin, stop = joined.tobytes(), place[:-1], place[1:] - 1
     one = xxhash.xxh64_intdigest
     for i in range(n):
