@@ -124,6 +124,29 @@ def packed_texts(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, key long")
 
 
+def _around(docs: DataFrame, wanted: DataFrame, text_col: str, length: int) -> DataFrame:
+    """The wanted surroundings with their bytes, each once."""
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    keyed = packed_texts(texts.where(F.octet_length("text") >= length), "text")
+    group = ["cls", "ctx"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = unsqueezed(text)
+                for w in wanted:
+                    at, lo, hi = w["place"] >> 24, w["place"] >> 12 & 4095, w["place"] & 4095
+                    out.append((w["cls"], w["ctx"], lo, hi, raw[at - hi:at - lo + length]))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.binary()))], [*group, "lo", "hi", "bytes"])
+
+    by_text = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    # One row of each text: a copy would send every surrounding again.
+    one = keyed.join(by_text.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return one.join(by_text, "key").select("text", "wanted").mapInArrow(cut, "cls long, ctx long, lo long, hi long, bytes binary")
+
+
 def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, seed: int = SEED_BYTES, members: int = MEMBERS) -> DataFrame:
     """(key, lo, hi): byte ranges to remove from the texts of each content key, not merged."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -144,22 +167,6 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     several = alike.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Surroundings that are not alone under their key, with their bytes from the one text that stands for them.
     wanted = alike.join(several, "cls").select("key", "n", F.struct(*group, "place").alias("w"))
-    keyed = packed_texts(texts.where(F.octet_length("text") >= length), "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = unsqueezed(text)
-                for w in wanted:
-                    at, lo, hi = w["place"] >> 24, w["place"] >> 12 & 4095, w["place"] & 4095
-                    out.append((w["cls"], w["ctx"], lo, hi, raw[at - hi:at - lo + length]))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.binary()))], [*group, "lo", "hi", "bytes"])
-
-    def around(some: DataFrame) -> DataFrame:
-        return keyed.join(some.groupBy("key").agg(F.collect_list("w").alias("wanted")), "key").select("text", "wanted") \
-            .mapInArrow(cut, "cls long, ctx long, lo long, hi long, bytes binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _ in whole_groups(batches, ("cls",)):
@@ -168,7 +175,6 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
             order = np.lexsort((ctx, h, offset, cls))
             a, b = order[:-1], order[1:]
             equal = (cls[a] == cls[b]) & (offset[a] == offset[b]) & (h[a] == h[b])
-            # Rows of one surrounding may come more than once (copies of the text); they are one.
             run = np.cumsum(np.concatenate(([True], ~equal))) - 1
             differs = np.zeros(run[-1] + 1, bool)
             differs[run[1:][equal & (ctx[a] != ctx[b])]] = True
@@ -182,9 +188,9 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
             cls, ctx = (rows[c].to_numpy()[row] for c in group)
             yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(ctx), pa.array(offset), pa.array(h.view(np.int64))], [*group, "o", "h"])
 
-    few = around(wanted.where(F.col("n") <= members)).repartition("cls").sortWithinPartitions("cls") \
+    few = _around(docs, wanted.where(F.col("n") <= members), text_col, length).repartition("cls").sortWithinPartitions("cls") \
         .mapInArrow(compare, "cls long, ctx long, o long")
-    strings = around(wanted.where(F.col("n") > members)).mapInArrow(explode, "cls long, ctx long, o long, h long").distinct()
+    strings = _around(docs, wanted.where(F.col("n") > members), text_col, length).mapInArrow(explode, "cls long, ctx long, o long, h long").distinct()
     twice = strings.groupBy("cls", "o", "h").agg(F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c0 <> c1").select("cls", "o", "h")
     many = strings.join(twice, ["cls", "o", "h"], "left_semi").select(*group, "o")
     edges = few.unionByName(many).groupBy(*group).agg(F.min("o").alias("o0"), F.max("o").alias("o1"))

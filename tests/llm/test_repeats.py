@@ -62,3 +62,16 @@ def test_edges(spark):
     assert len(got) == 7 and sorted(r.n_bytes for r in got)[:3] == [0, 0, 0]
     assert next(len(r.kept) for r in got if r.doc_id == 4) < 500  # one word over and over
     assert repeats.remove(edge_docs(spark, empty=True)).collect() == []
+
+
+def test_copies_send_their_surroundings_once(spark, monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    texts = [text] * 50 + [text[:150] + "#" + text[151:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    sent, around = [], repeats._around
+    monkeypatch.setattr(repeats, "_around", lambda *args: sent.append(around(*args)) or sent[-1])
+    got = {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in repeats.remove(docs, length=40, seed=8).collect()}
+    assert [got[k] for k in range(51)] == [w[3] for w in brute(texts, 40)]
+    read = [r for x in sent for r in x.collect()]
+    assert len(read) == len({(r.cls, r.ctx) for r in read}) > 0
