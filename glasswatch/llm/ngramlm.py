@@ -316,6 +316,7 @@ class _Grams:
         split = lambda x: np.ceil(self.count[x] / limit).astype(np.uint64)
         parts = np.maximum(split(v), 1)
         shard = mixed(mixed(number[v]) + mixed(number[u]) % parts) % np.uint64(shards)
+        # A word that training has not seen makes an n-gram that it has not seen: its code is 0 and it is not sent.
         sent = [(shard, number[u], number[v], number[w], seen)]
         # Bigrams of middle words that are split.
         self.hot = at[split(t[at - 1]) > 1]
@@ -325,12 +326,14 @@ class _Grams:
         sent.append((shard, np.full(len(v), PAIR, np.uint64), number[v], number[w], np.bincount(self.back2, train[self.hot], len(v)).astype(np.uint32)))
         self.n_triples = len(key)
         columns = [np.concatenate(c) for c in zip(*sent)]
-        self.order = np.argsort(columns[0].astype(np.uint32), kind="stable")
+        self.n_grams = len(columns[0])
+        known = np.flatnonzero(np.all([c != UNKNOWN for c in columns[1:4]], 0))
+        self.order = known[np.argsort(columns[0][known].astype(np.uint32), kind="stable")]
         self.columns = [columns[0][self.order].astype(np.int64), *(c[self.order].astype(np.uint32) for c in columns[1:])]
 
     def scores(self, codes: np.ndarray, pairs: np.ndarray, n_train: int, n_vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Base score, model score and number of known tokens of each document; codes in the order sent."""
-        triple, pair_of = np.zeros(len(self.order)), np.zeros(len(self.order))
+        triple, pair_of = np.zeros(self.n_grams), np.zeros(self.n_grams)
         triple[self.order], pair_of[self.order] = restored(codes), restored(pairs)
         c = self.count[self.local].astype(np.float64)
         p1 = (c + 0.5) / (n_train + 0.5 * (n_vocabulary + 1))

@@ -90,3 +90,14 @@ def test_blocks_and_shards_do_not_matter(spark):
 def test_edges(spark):
     got = L.score(edge_docs(spark), ~L.held_out()).collect()
     assert len(got) == 7 and sorted(r.n_tokens for r in got)[:4] == [1, 1, 1, 1]
+
+
+def test_unknown_words_are_not_sent():
+    pack = lambda x, t: L._pack(np.array(x, t))
+    import pyarrow as pa
+    row = {"numbers": pa.scalar(pack([0, L.UNKNOWN, L.UNKNOWN, 1], np.uint32), pa.binary()), "tokens": pa.scalar(pack([0, 3, 0, 1, 2, 0, 3], np.uint32), pa.binary()),
+           "lengths": pa.array([3, 4]), "train": pa.array([True, False])}
+    grams = L._Grams(row, (np.array([2, 1]), np.array([0, 1, 2])), 1, 100.0)
+    assert len(grams.order) and not any((c == L.UNKNOWN).any() for c in grams.columns[1:4])
+    codes = np.zeros(len(grams.order), np.uint16)
+    assert [len(x) for x in grams.scores(codes, codes, 3, 2)] == [2, 2, 2]
