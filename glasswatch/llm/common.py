@@ -34,10 +34,12 @@ def query(name: str, sql: str | None = None):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; where none is
-    set (tests on one machine), a temporary one is set for the session."""
+    """A new folder below the one that the cluster names in spark.checkpoint.dir.  Where none is set, a local session
+    (tests on one machine) gets a temporary one; a cluster has no folder that all machines see, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="glasswatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -123,29 +125,57 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, e, np.searchsorted(s, offsets)
 
 
+# Hashes of strings: two polynomials modulo the prime 2**31 - 1 with bases drawn once.  Two unlike strings of n bytes have
+# one hash with probability (n / 2**31)**2 at most, whatever their bytes; modulo a power of two, some strings always would.
+PRIME = np.uint64(2**31 - 1)
 _rng = np.random.default_rng(20240229)
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-BLOCK = 1 << 20
+_TABLES = _rng.integers(1, 2**31 - 1, (2, 256), dtype=np.uint64)
+_BASES = [int(x) for x in _rng.integers(2**16, 2**31 - 2, 2)]
+# Powers kept by a worker, of each base and its inverse; longer texts compute theirs.
+_KEPT = 6 << 20
+# Numbers worked on at once, few enough to stay in a core's cache.
+_STRETCH = 1 << 14
+_powers: dict[int, np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2**62; works in place."""
+    for _ in range(2):
+        high = x >> np.uint64(31)
+        x &= PRIME
+        x += high
+    return np.minimum(x, x - PRIME, out=x)  # below the prime the difference wraps round
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1), modulo 2**64."""
+    """base**0 .. base**(n - 1), modulo the prime."""
+    held = _powers.get(base)
+    if held is not None and len(held) >= n:
+        return held[:n]
     out = np.ones(max(n, 1), np.uint64)
-    done = 1
+    done = 1 if held is None else len(held)
+    if held is not None:
+        out[:done] = held
     while done < n:
-        step = np.uint64(pow(base, done, 1 << 64))
         more = min(done, n - done)
-        out[done:done + more] = out[:more] * step
+        out[done:done + more] = _reduced(out[:more] * np.uint64(pow(base, done, int(PRIME))))
         done += more
+    if n <= _KEPT:
+        _powers[base] = out
     return out[:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n + 1 prefix sums of table[byte] * base**i, modulo 2**64."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers(_BASE, len(data)), out=out[1:])
+    """For both lanes n + 1 prefix sums of table[byte] * base**i."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    for lane in range(2):
+        power, carry = powers(_BASES[lane], len(data)), np.uint64(0)
+        for at in range(0, len(data), _STRETCH):
+            x = _TABLES[lane][data[at:at + _STRETCH]]
+            x *= power[at:at + _STRETCH]
+            _reduced(x)
+            x[0] += carry
+            carry = _reduced(np.cumsum(x, out=out[lane, at + 1:at + 1 + len(x)]))[-1]
     return out
 
 
@@ -158,14 +188,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+def _between(prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """Both lanes of the hash of data[start:end] as one number; start and end are places or slices of them."""
+    backs = [powers(pow(base, -1, int(PRIME)), prefix.shape[1]) for base in _BASES]
+    n = start.stop - start.start if isinstance(start, slice) else len(start)
+    out = np.empty(max(n, 0), np.uint64)
+    cut = lambda x, a: slice(x.start + a, min(x.start + a + _STRETCH, x.stop)) if isinstance(x, slice) else x[a:a + _STRETCH]
+    for at in range(0, n, _STRETCH):
+        s, e = cut(start, at), cut(end, at)
+        part = []
+        for lane in range(2):
+            x = prefix[lane][e] + (PRIME - prefix[lane][s])
+            np.minimum(x, x - PRIME, out=x)
+            x *= backs[lane][s]
+            part.append(_reduced(x))
+        np.bitwise_or(part[0] << np.uint64(31), part[1], out=out[at:at + _STRETCH])
+    return out
+
+
+def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of data[start:end]; equal strings have equal hashes wherever they stand."""
-    back = powers(_INVERSE, len(prefix)) if back is None else back
-    return mixed((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    return mixed(_between(prefix, start, end) + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+
+
+def sliding_hash(prefix: np.ndarray, start: int, end: int, width: int) -> np.ndarray:
+    """Hashes of all strings of ``width`` bytes in data[start:end]."""
+    return mixed(_between(prefix, slice(start, end + 1 - width), slice(start + width, end + 1)))
 
 
 __all__ = ["QUERIES", "SQL", "query", "table", "shared_folder", "written", "text_bytes", "lower_ascii", "words", "prefix_hash",
-           "range_hash", "mixed", "powers"]
+           "range_hash", "sliding_hash", "mixed", "powers"]
 
 
 def whole_groups(batches, keys: tuple[str, ...]):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from glasswatch.llm.common import lower_ascii, mixed, prefix_hash, powers, query, range_hash, slices, table, text_bytes, words
+from glasswatch.llm.common import lower_ascii, mixed, prefix_hash, query, range_hash, slices, table, text_bytes, words
 
 # Function words of the languages of the corpus: fixed values.
 STOPWORDS = ("the of and to in a is that it for on was with be by are das der die und ist von im ein eine zu nicht mit den auf für "
@@ -57,8 +57,7 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
     of = np.repeat(np.arange(n), n_words)
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     prefix = prefix_hash(data)
-    back = powers(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64), len(prefix))
-    key = range_hash(prefix, start, end, back)
+    key = range_hash(prefix, start, end)
 
     # Lines with a word: from the break or text start before its first word to the next break or text end.
     breaks = np.flatnonzero(data == _BREAK)
@@ -68,7 +67,7 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
     stop = np.concatenate((edge, [len(data)]))[line + 1]
     line_of = np.searchsorted(offsets, begin, "right") - 1
     n_lines = _per(line_of, n)
-    dup = _earlier(range_hash(prefix, begin, stop, back), line_of)
+    dup = _earlier(range_hash(prefix, begin, stop), line_of)
 
     # Words in windows that occur twice or more in their text.
     repeat = np.zeros(len(start), bool)
@@ -93,7 +92,7 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
     upper = low != data
     letter = (low >= 97) & (low <= 122)
     stop_keys = np.sort(_keys(STOPWORDS))
-    low_key = range_hash(prefix_hash(low), start, end, back)
+    low_key = range_hash(prefix_hash(low), start, end)
     known = stop_keys[np.minimum(np.searchsorted(stop_keys, low_key), len(stop_keys) - 1)] == low_key
     last = data[end - 1] if len(end) else np.zeros(0, np.uint8)
     return {

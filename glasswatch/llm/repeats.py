@@ -13,7 +13,8 @@ same offset, so only strings around anchors of equal surroundings need comparing
 
 This replaces merging the Burrows-Wheeler transforms of shards: refining the interleave takes one pass over all bytes for
 each byte of common prefix, so LENGTH passes over the corpus, each a shuffle (see README for figures).  Here every byte is
-read twice and only anchors are shuffled.  Equality is by 64-bit hashes; lengths and clipping are part of each.
+read twice and only anchors are shuffled.  Equality of strings is by two hashes modulo a prime, of whole texts by a
+128-bit digest; lengths and clipping are part of each.
 
 Null and empty texts have no bytes and lose none.  Repeated rows are copies of each other.
 """
@@ -28,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasswatch.llm.common import mixed, powers, prefix_hash, query, range_hash, small, squeezed, table, text_bytes, unsqueezed, whole_groups, written
+from glasswatch.llm.common import mixed, prefix_hash, query, range_hash, sliding_hash, small, squeezed, table, text_bytes, unsqueezed, whole_groups, written
 
 LENGTH, SEED_BYTES = 400, 32
 # Different surroundings of one key that a task compares; keys with more are counted by Spark.
 MEMBERS = 2048
-_INVERSE = pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -72,27 +72,31 @@ def sides(length: int = LENGTH, seed: int = SEED_BYTES) -> list[tuple[int, int]]
     return [(0, most // 2), (most // 2 + 1, most)]
 
 
-def _anchor_rows(column: pa.Array, length: int, seed: int) -> list[np.ndarray]:
+def text_keys(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """128-bit digest of each text: texts of one key are taken to be copies."""
+    raw = memoryview(data)
+    return pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
+
+
+def _anchor_rows(column: pa.Array, length: int, seed: int) -> list[pa.Array]:
     """cls, ctx, key and place of the anchors of a batch of texts."""
     data, offsets = text_bytes(column)
     prefix = prefix_hash(data)
-    back = powers(_INVERSE, len(prefix))
-    key = range_hash(prefix, offsets[:-1], offsets[1:], back)
+    keys = text_keys(data, offsets)
     out = []
     for i in np.flatnonzero(np.diff(offsets) >= length).tolist():
         s, e = int(offsets[i]), int(offsets[i + 1])
-        # Seeds are hashed as differences of prefix sums, brought to one base.
-        seeds = mixed((prefix[s + seed:e + 1] - prefix[s:e + 1 - seed]) * back[s:e + 1 - seed])
-        at, least, most = anchors(seeds, length, seed)
+        at, least, most = anchors(sliding_hash(prefix, s, e, seed), length, seed)
         for side, (low, high) in enumerate(sides(length, seed)):
             lo, hi = np.maximum(least, low), np.minimum(most, high)
             here = lo <= hi
             a, lo, hi = at[here] + s, lo[here], hi[here]
-            cls = mixed(range_hash(prefix, a - low, a + length - high, back) + np.uint64(side))
+            cls = mixed(range_hash(prefix, a - low, a + length - high) + np.uint64(side))
             place = (a - s) << 24 | lo << 12 | hi
-            ctx = mixed(range_hash(prefix, a - hi, a + length - lo, back) + (lo << 12 | hi).astype(np.uint64))
-            out.append((cls.view(np.int64), ctx.view(np.int64), np.full(len(a), key[i]).view(np.int64), place))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+            ctx = mixed(range_hash(prefix, a - hi, a + length - lo) + (lo << 12 | hi).astype(np.uint64))
+            out.append((cls.view(np.int64), ctx.view(np.int64), np.full(len(a), i), place))
+    cls, ctx, text, place = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+    return [pa.array(cls), pa.array(ctx), keys.take(pa.array(text)), pa.array(place)]
 
 
 def _windows(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,11 +108,11 @@ def _windows(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     row = np.repeat(np.arange(len(rows)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = offsets[:-1][row] + step
-    return row, high[row] - step, range_hash(prefix, start, start + length, powers(_INVERSE, len(prefix)))
+    return row, high[row] - step, range_hash(prefix, start, start + length)
 
 
 def packed_texts(rows: DataFrame, text_col: str) -> DataFrame:
-    """The rows with their text compressed (binary, same name) and ``key``, the 64-bit hash of its bytes."""
+    """The rows with their text compressed (binary, same name) and ``key``, the digest of its bytes."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString() if f.name != text_col else 'binary'}" for f in rows.schema.fields)
     columns = rows.columns
     place = columns.index(text_col)
@@ -116,12 +120,11 @@ def packed_texts(rows: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, place):
             data, offsets = text_bytes(batch.column(place))
-            key = range_hash(prefix_hash(data), offsets[:-1], offsets[1:]).view(np.int64)
             raw = data.tobytes()
             packed = pa.array([squeezed(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed if k == place else c for k, c in enumerate(batch.columns)] + [pa.array(key)], [*columns, "key"])
+            yield pa.RecordBatch.from_arrays([packed if k == place else c for k, c in enumerate(batch.columns)] + [text_keys(data, offsets)], [*columns, "key"])
 
-    return rows.mapInArrow(run, f"{kinds}, key long")
+    return rows.mapInArrow(run, f"{kinds}, key binary")
 
 
 def _around(docs: DataFrame, wanted: DataFrame, text_col: str, length: int) -> DataFrame:
@@ -154,9 +157,9 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _anchor_rows(batch.column(0), length, seed)], list(names))
+            yield pa.RecordBatch.from_arrays(_anchor_rows(batch.column(0), length, seed), list(names))
 
-    found = texts.mapInArrow(find, "cls long, ctx long, key long, place long")
+    found = texts.mapInArrow(find, "cls long, ctx long, key binary, place long")
     # Keys that occur once cannot repeat.
     spread = found.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
     held = written(found.join(spread, "cls", "left_semi").distinct())
