@@ -309,14 +309,15 @@ class _Grams:
         self.third[at[1:]] = owner[at[1:] - 2] == owner[at[1:]] if len(at) else False
         if len(at):
             self.third[at[0]] = at[0] > 1 and owner[at[0] - 2] == owner[at[0]]
-        u = np.where(self.third[at], t[at - 2], m - 1)
+        # An n-gram with an unseen word has not been seen and is not sent.  One whose first word alone is unseen goes as if
+        # it had none, since it also asks for the pair of its last two.
+        u = np.where(self.third[at] & (number[t[at - 2]] != UNKNOWN), t[at - 2], m - 1)
         key, self.back = np.unique((u * m + t[at - 1]) * m + t[at], return_inverse=True)
         seen = np.bincount(self.back, train[at], len(key)).astype(np.uint32)
         w, v, u = key % m, key // m % m, key // (m * m)
         split = lambda x: np.ceil(self.count[x] / limit).astype(np.uint64)
         parts = np.maximum(split(v), 1)
         shard = mixed(mixed(number[v]) + mixed(number[u]) % parts) % np.uint64(shards)
-        # A word that training has not seen makes an n-gram that it has not seen: its code is 0 and it is not sent.
         sent = [(shard, number[u], number[v], number[w], seen)]
         # Bigrams of middle words that are split.
         self.hot = at[split(t[at - 1]) > 1]
