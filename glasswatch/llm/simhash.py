@@ -75,13 +75,13 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Id and fingerprint (long) of each document."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(batch.column(1)).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(batch.column(1), shingle).view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")) \
         .mapInArrow(run, f"id {id_type}, fp long").withColumnRenamed("id", id_col)
@@ -226,7 +226,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, part: int = PART) ->
         left, right = [], []
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
             mine = own[s:e]
-            if mine.any() and e - s > 2:
+            if mine.any() and not mine.all():
                 a, b = compare(fp[s:e][mine], fp[s:e][~mine], threshold)
                 left.append(a)
                 right.append(b)
@@ -248,6 +248,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of_all, "fp")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of each component, all columns kept: the one with the least id (null ids last), then the least digest of
+    the text; of rows that repeat both, any one."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    name = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-")), F.lit("\0"), text))
+    keyed = docs.select(F.struct("*").alias("doc"), name.alias("name"))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), name.alias("name")).alias("row"), text.alias("text"))
+    # Narrow rows decide; the texts travel once, and copies of a row meet before they do.
+    least = written(fingerprint(rows, "row", "text", shingle).groupBy("fp").agg(F.min("row").alias("row")))
+    joined = written(components(links(least, threshold)))
+    pick = least.join(joined, least["fp"] == joined["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")) \
+        .agg(F.min("row").alias("row")).select("row.name")
+    return keyed.dropDuplicates(["name"]).join(pick, "name", "left_semi").select("doc.*")
+
+
 @query("op5_simhash")
 def op5(spark, sf):
     """Fingerprint and component of all documents; no SQL twin (hash and components)."""
