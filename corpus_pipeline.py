@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasswatch.llm import bpe, decontaminate, quality, secretscan, similar
+from glasswatch.llm import bpe, decontaminate, quality, secretscan, simhash
 from glasswatch.llm.common import BATCH_ROWS, table, written
 
 
@@ -17,9 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are alike in four fifths of their five-word shingles: the one with the
-    smallest id; one without an id only where no document of the group has one."""
-    return similar.one_of_each(docs)
+    """One document of each group of fingerprints that links of two bits or fewer join: the one with the smallest id; one
+    without an id only where no document of the group has one."""
+    return simhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
