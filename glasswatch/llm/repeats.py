@@ -34,6 +34,7 @@ from glasswatch.llm.common import mixed, prefix_hash, query, range_hash, sliding
 LENGTH, SEED_BYTES = 400, 32
 # Different surroundings of one key that a task compares; keys with more are counted by Spark.
 MEMBERS = 2048
+HOT = 1000
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -159,10 +160,15 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
         for batch in small(batches, 0):
             yield pa.RecordBatch.from_arrays(_anchor_rows(batch.column(0), length, seed), list(names))
 
-    found = texts.mapInArrow(find, "cls long, ctx long, key binary, place long")
-    # Keys that occur once cannot repeat.
-    spread = found.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
-    held = written(found.join(spread, "cls", "left_semi").distinct())
+    found = written(texts.mapInArrow(find, "cls long, ctx long, key binary, place long"))
+    # Keys that occur once cannot repeat.  Those with over a HOT-th of all anchors, fewer than HOT, are known by name and
+    # go to no join, so that none fills a task.
+    sizes = written(found.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = found.count()
+    often = [r[0] for r in sizes.where(F.col("n") * HOT > total).select("cls").collect()]
+    is_often = F.array_contains(F.lit(often).cast("array<long>"), F.col("cls"))
+    rest = found.where(~is_often).join(sizes.where(~is_often), "cls", "left_semi")
+    held = written(found.where(is_often).unionByName(rest).distinct())
     group = ["cls", "ctx"]
     spot = F.struct("key", "place")
     alike = written(held.groupBy(*group).agg(F.min(spot).alias("one"), F.max(spot).alias("other"))
@@ -198,7 +204,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     many = strings.join(twice, ["cls", "o", "h"], "left_semi").select(*group, "o")
     edges = few.unionByName(many).groupBy(*group).agg(F.min("o").alias("o0"), F.max("o").alias("o1"))
     # All strings of one side overlap, so what repeats on a side is one range.
-    verdict = alike.select(*group, "whole").join(edges, group, "left").where(F.col("whole") | F.col("o0").isNotNull())
+    verdict = written(alike.select(*group, "whole").join(edges, group, "left").where(F.col("whole") | F.col("o0").isNotNull()))
     at, low, high = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(F.lit(4095)), F.col("place").bitwiseAND(F.lit(4095))
     return held.join(verdict, group).select(
         "key", (at - F.when(F.col("whole"), high).otherwise(F.col("o1"))).alias("lo"),
