@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from glasswatch.operators import scan as S
 from glasswatch.operators.policy import decide
-from glasswatch.queries import SQL, query
+from glasswatch.plans.interval import interval_join
+from glasswatch.queries import SQL, query, table
 from glasswatch.queries import detection, fleet, policy, sessions
 from glasswatch.queries.samples import PHRASES
+from glasswatch.sources import sinks
 from glasswatch.streaming import alerts as SA
 from glasswatch.streaming import state as ST
 
@@ -120,3 +122,41 @@ def stream_alerts_deduplicated(spark, sf):
     twice = al.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     once = SA.deduplicate(twice, ["device", "threat_id", "ts", "risk_level"])
     return drain(once.select("device", "risk_level"), work_folder(spark)).groupBy("risk_level").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+_WITHIN = 7200
+_PRIOR = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
+_NEAR_SQL = f"""SELECT a.event_id, a.user_id AS device, {fleet._THREAT.replace("event_type", "a.event_type")} AS threat_id, p.event_id AS prior_event_id,
+       {_PRIOR.format("a.ts")} AS ts, {_PRIOR.format("p.ts")} AS prior_ts
+FROM events a JOIN events p ON a.user_id = p.user_id AND p.ts <= a.ts AND p.ts >= a.ts - INTERVAL {_WITHIN} SECOND
+WHERE a.event_type <> 'view' AND p.event_type = 'view'"""
+
+
+def _near(events):
+    """Alerts, and the prompts (events that raise none) of the same device in the two hours before each."""
+    timed = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("device"),
+                          F.expr(fleet._THREAT).alias("threat_id"), "event_type")
+    found = interval_join(timed.where("event_type <> 'view'").drop("event_type"), timed.where("event_type = 'view'").select("event_id", "ts", "device"),
+                          "device", _WITHIN)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return found.select("event_id", "device", "threat_id", "prior_event_id", stamp("ts"), stamp("prior_ts"))
+
+
+@query("alerts_after_prompts", _NEAR_SQL)
+def alerts_after_prompts(spark, sf):
+    return _near(table(spark, sf, "events"))
+
+
+@query("stream_alerts_after_prompts", _NEAR_SQL)
+def stream_alerts_after_prompts(spark, sf):
+    return drain(_near(source(spark, sf, "events")), work_folder(spark))
+
+
+@query("stream_alert_sink", f"WITH {fleet._ALERTS} SELECT event_id, device, threat_id, risk_level, {_PRIOR.format('ts')} AS ts FROM al")
+def stream_alert_sink(spark, sf):
+    """Alerts written batch by batch, twice: the second run has lost its checkpoint and replays every batch, which adds nothing."""
+    al, folder = _alert_stream(spark, sf), work_folder(spark)
+    for attempt in ("first", "replay"):
+        sinks.stream_once(al, f"{folder}/alerts", f"{folder}/{attempt}").awaitTermination()
+    return sinks.read_batches(spark, f"{folder}/alerts", al.schema).select(
+        "event_id", "device", "threat_id", "risk_level", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
