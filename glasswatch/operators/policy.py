@@ -61,13 +61,14 @@ def _decision(rank: Column) -> Column:
 
 
 def decide(df: DataFrame, text: str = "text", stage: str | Column = "prompt", policy: str = "policy", *,
-           detectors: Sequence[Detector] = DETECTORS, threats=THREATS, content_rules=CONTENT_RULES) -> DataFrame:
+           detectors: Sequence[Detector] = DETECTORS, threats=THREATS, content_rules=CONTENT_RULES,
+           scopes: str | None = None) -> DataFrame:
     """Add ``decision`` (allow, ask, deny), ``reasons`` and ``reported`` findings.
 
     Threat findings: block denies, justify asks, disabled is dropped.  Content
     hits: the same, absent from the policy means disabled, and an ask gives no
     reason.  Null policy or blank text -> allow."""
-    work = review(df, text, stage, detectors=detectors, threats=threats, rules=content_rules)
+    work = review(df, text, stage, detectors=detectors, threats=threats, rules=content_rules, scopes=scopes)
     return decide_reviewed(work, policy, df.columns)
 
 

@@ -12,6 +12,7 @@ text read and key skew has no effect:
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -251,10 +252,21 @@ def select(detectors: Sequence[Detector], stage: str | None) -> list[Detector]:
     return [d for d in detectors if stage is None or in_stage(d, stage)]
 
 
-def _stage_filter(detectors: Sequence[Detector], stage: Column):
-    """Rule number -> does it run in the row's stage?"""
-    places = literal_array([[s for s in STAGES if in_stage(d, s)] for d in detectors], "array<string>")
-    return lambda rule: F.array_contains(F.get(places, rule), stage)
+def _row_filter(detectors: Sequence[Detector], stage: str | Column, scopes: str | None):
+    """Rule number -> does it run in this row, by the row's stage and by the scopes it lists?  None: every rule runs."""
+    tests = []
+    if not isinstance(stage, str):
+        places = literal_array([[s for s in STAGES if in_stage(d, s)] for d in detectors], "array<string>")
+        tests.append(lambda rule: F.array_contains(F.get(places, rule), stage))
+    if any(d.scope is not None for d in detectors):
+        if scopes is None:
+            raise ValueError("rules with a scope need a column of scopes")
+        scope_of = literal_array([d.scope for d in detectors], "int")
+        listed = F.coalesce(F.col(scopes), F.array().cast("array<int>"))
+        tests.append(lambda rule: F.get(scope_of, rule).isNull() | F.array_contains(listed, F.get(scope_of, rule)))
+    if not tests:
+        return None
+    return lambda rule: reduce(lambda a, b: a & b, [test(rule) for test in tests])
 
 
 # -- array reduction ---------------------------------------------------------------
@@ -320,28 +332,27 @@ def findings_of(matches: str, detectors: Sequence[Detector], threats: Sequence[T
 
 def scan(df: DataFrame, text: str = "text", stage: str | Column = "prompt", *,
          detectors: Sequence[Detector] = DETECTORS, threats: Sequence[Threat] = THREATS,
-         into: str = "findings") -> DataFrame:
-    """Add ``into``: the ranked findings of each row's text."""
+         into: str = "findings", scopes: str | None = None) -> DataFrame:
+    """Add ``into``: the ranked findings of each row's text.  ``scopes`` names the column (ARRAY<INT>) of the scoped rules
+    that apply to a row; those of other rows are left out before any regex runs."""
     constant = isinstance(stage, str)
     rules = known(select(detectors, stage if constant else None), threats)
     if not rules:
         return df.withColumn(into, F.array().cast(FINDINGS_TYPE))
     raw = f"__{into}_raw"
-    work = match_rules(df, text, rules, raw, None if constant else _stage_filter(rules, stage), skip_blank=True)
+    work = match_rules(df, text, rules, raw, _row_filter(rules, stage, scopes), skip_blank=True)
     return findings_of(raw, rules, threats, work, into)
 
 
 def review(df: DataFrame, text: str = "text", stage: str | Column = "prompt", *,
            detectors: Sequence[Detector] = DETECTORS, threats: Sequence[Threat] = THREATS,
-           rules: Sequence[ContentRule] = CONTENT_RULES) -> DataFrame:
+           rules: Sequence[ContentRule] = CONTENT_RULES, scopes: str | None = None) -> DataFrame:
     """Threat findings and content hits from a single pass over the text."""
     constant = isinstance(stage, str)
     dets = known(select(detectors, stage if constant else None), threats)
     both, n = [*dets, *rules], len(dets)
-    keep = None
-    if not constant:
-        in_place = _stage_filter(dets, stage)
-        keep = lambda r: (r >= n) | in_place(r)
+    applies = _row_filter(dets, stage, scopes)
+    keep = None if applies is None else lambda r: (r >= n) | applies(r)
     work = match_rules(df, text, both, "__both", keep, skip_blank=True)
     work = work.withColumn("__det", F.filter("__both", lambda x: x["r"] < n)) \
         .withColumn("__con", F.filter("__both", lambda x: x["r"] >= n)).drop("__both")

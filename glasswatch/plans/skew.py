@@ -69,9 +69,11 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = 16,
                 salt_on: Sequence[str] | None = None) -> DataFrame:
     """Equi-join a big, possibly skewed left side to a dimension of unproven size:
-    left keys are spread over ``salts`` parts, each dimension row is repeated per part."""
+    left keys are spread over ``salts`` parts, each dimension row is repeated per part.  Without ``salt_on`` all columns
+    that can be hashed (not maps) pick the part."""
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError("the repeated side must not be preserved")
-    l = left.withColumn("__salt", F.pmod(F.xxhash64(*(salt_on or left.columns)), F.lit(salts)).cast("int"))
+    hashable = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(*(salt_on or hashable)), F.lit(salts)).cast("int"))
     r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [*on, "__salt"], how).drop("__salt")

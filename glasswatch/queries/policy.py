@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glasswatch.operators import alerts as A
+from glasswatch.operators import packs as PK
 from glasswatch.operators import policy as P
 from glasswatch.operators import scan as S
 from glasswatch.operators import toolcalls as TC
@@ -12,6 +13,8 @@ from glasswatch.plans.asof import asof_join
 from glasswatch.plans.skew import salted_join
 from glasswatch.queries import query, sqlgen as G, table, texts
 from glasswatch.queries.detection import SEEDED, seeded
+from glasswatch.rules.detectors import DETECTORS
+from glasswatch.rules.model import Detector, ci
 
 
 
@@ -62,10 +65,10 @@ _FULL = (f"COALESCE({_EXPLICIT}, CASE {G.tier_case()} WHEN 'secret' THEN secret
 _CONTENT = "COALESCE(CASE rule_id WHEN 'drugs' THEN c_drugs WHEN 'harassment' THEN c_harassment END, 'disabled')"
 
 
-def _acts(explicit: bool = False, stage: str = "prompt", src: str = "prompts", key: str = "doc_id") -> str:
+def _acts(explicit: bool = False, stage: str = "prompt", src: str = "prompts", key: str = "doc_id", **rules) -> str:
     """CTEs ``ta`` (threat findings with action) and ``ca`` (content hits with action), disabled dropped."""
     chain = f"COALESCE({_EXPLICIT}, 'notify')" if explicit else _FULL
-    return (f"{G.hits_cte(src, key, stage=stage)}, {G.findings_cte(key)}, {G.content_cte(src, key)}, "
+    return (f"{G.hits_cte(src, key, stage=stage, **rules)}, {G.findings_cte(key)}, {G.content_cte(src, key)}, "
             f"ta AS (SELECT * FROM (SELECT f.*, p.active, {chain} AS action FROM findings f JOIN {src} p USING ({key})) WHERE action <> 'disabled'), "
             f"ca AS (SELECT * FROM (SELECT c.*, p.active, {_CONTENT} AS action FROM chits c JOIN {src} p USING ({key})) WHERE action <> 'disabled')")
 
@@ -97,6 +100,61 @@ def decide_prompts(spark, sf):
     return done.select("doc_id", "tenant", "decision", F.array_join("reasons", "; ").alias("reasons"), F.size("reported").alias("n_reported"))
 
 
+# -- packs of each tenant ------------------------------------------------------------------
+
+# A code name per nation and a rule per region; those of the last two regions are refused or for answers only.
+_CODE_NAMES = ("thtion", "attion", "thble", "ering", "thing", "erble", "eriner", "oning", "nicht", "onble")
+_REGION_RULES = (("insult!", "16", "prompt", "warn", r"\b(trash|scum|idiot|clown|worthless|moron|pathetic|loser)\b"),
+                 ("maillike", "15", "prompt", "coach", r"[\w.+-]+@[\w.-]+"), ("short number", "15", "prompt", "warn", r"\b\d{3}-\d{4}\b"),
+                 ("answers", "15", "output", "warn", r"the"), ("refused", "15", "prompt", "warn", r"(a+)+b"))
+
+
+def tenant_packs(spark, sf):
+    """(tenant, pack_no, pack_id, detectors): one pack per nation."""
+    n = table(spark, sf, "nation")
+    rule = lambda i, t, stage, mode, p: F.struct(
+        *(F.lit(v).alias(k) for k, v in (("detectorId", i), ("threatId", t), ("stage", stage), ("mode", mode), ("hint", None))),
+        F.array(p).alias("patterns"), F.lit("i").alias("flags"))
+    name = F.get(S.literal_array(_CODE_NAMES, "string"), F.col("n_nationkey") % len(_CODE_NAMES))
+    own = rule("code name", "39", "prompt", "warn", F.concat(F.lit(r"\b"), name, F.lit(r"s?\b")))
+    region = F.get(F.array(*(rule(i, t, s, m, F.lit(p)) for i, t, s, m, p in _REGION_RULES)), F.col("n_regionkey"))
+    return n.select(F.col("n_nationkey").cast("int").alias("tenant"), F.lit(0).alias("pack_no"), F.lit("team rules").alias("pack_id"),
+                    F.array(own, region).alias("detectors"))
+
+
+_IN_REGION = "tenant IN (SELECT n_nationkey FROM nation WHERE n_regionkey = {})"
+_TENANT_RULES = {
+    **{Detector("pack:teamrules:codename", 39, ci(rf"\b{w}s?\b")): f"tenant IN (SELECT n_nationkey FROM nation WHERE n_nationkey % {len(_CODE_NAMES)} = {k})"
+       for k, w in enumerate(_CODE_NAMES)},
+    Detector("pack:teamrules:insult", 16, ci(_REGION_RULES[0][4])): _IN_REGION.format(0),
+    Detector("pack:teamrules:maillike", 15, ci(_REGION_RULES[1][4]), mode="coach"): _IN_REGION.format(1),
+    Detector("pack:teamrules:shortnumber", 15, ci(_REGION_RULES[2][4])): _IN_REGION.format(2)}
+_WITH_PACKS = {"detectors": (*DETECTORS, *_TENANT_RULES), "only": _TENANT_RULES}
+
+
+def packed_prompts(spark, sf):
+    """Prompts with the pack rules of their tenant, and all rules."""
+    rules, owners = PK.compile_tenant_packs(tenant_packs(spark, sf))
+    return PK.with_scopes(prompts(spark, sf), owners, salt_on=["doc_id"]), PK.apply_packs(rules)
+
+
+@query("tenant_pack_findings",
+       f"WITH {_PROMPTS_SQL}, {G.hits_cte('prompts', 'doc_id, tenant', **_WITH_PACKS)}, {G.findings_cte('doc_id, tenant')} "
+       "SELECT doc_id, tenant, rank, threat_id, detector_id, mode, match, risk_level, risk_score, category FROM findings")
+def tenant_pack_findings(spark, sf):
+    rows, rules = packed_prompts(spark, sf)
+    return S.explode_findings(S.scan(rows, detectors=rules, scopes="scopes"), ["doc_id", "tenant"]).drop("hint")
+
+
+@query("tenant_pack_decisions",
+       f"WITH {_PROMPTS_SQL}, {_acts(**_WITH_PACKS)}, {_DECIDE_BODY} SELECT p.doc_id, p.tenant, CASE r.rk WHEN 3 THEN 'deny' WHEN 2 THEN 'ask' ELSE 'allow' END AS decision, "
+       "COALESCE(r.reasons, '') AS reasons, CAST(COALESCE(r.n, 0) AS INTEGER) AS n_reported FROM prompts p LEFT JOIN r USING (doc_id)")
+def tenant_pack_decisions(spark, sf):
+    rows, rules = packed_prompts(spark, sf)
+    done = P.decide(rows, detectors=rules, scopes="scopes")
+    return done.select("doc_id", "tenant", "decision", F.array_join("reasons", "; ").alias("reasons"), F.size("reported").alias("n_reported"))
+
+
 @query("guard_verdicts",
        f"WITH {_PROMPTS_SQL}, {_acts(explicit=True)}, a AS (SELECT doc_id, action FROM ta UNION ALL SELECT doc_id, action FROM ca), "
        "g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (action <> 'alert') AS v, count(*) FILTER (action = 'block') AS b FROM a GROUP BY doc_id) "

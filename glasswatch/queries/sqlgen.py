@@ -72,13 +72,15 @@ def djb2(v: str) -> str:
             f"lambda h, c: (h * 33 + c) % 4294967296) AS BIGINT)), '0')) END")
 
 
-def hits_cte(src: str, keys: str, text: str = "text", stage: str = "prompt", detectors=DETECTORS, name: str = "hits") -> str:
+def hits_cte(src: str, keys: str, text: str = "text", stage: str = "prompt", detectors=DETECTORS, name: str = "hits", only=None) -> str:
+    """``only``: detector -> condition on the rows it applies to."""
     rows = []
     for i, d in enumerate(known(select(detectors, stage), THREATS)):
         t = _BY_ID[d.threat_id]
         rows.append(f"SELECT {keys}, {i} AS ord, {d.threat_id} AS threat_id, {q(d.detector_id)} AS detector_id, {q(d.mode)} AS mode, "
                     f"{q(t.risk_level)} AS risk_level, {LEVEL_RANK[t.risk_level]} AS lvl, {t.risk_score} AS risk_score, "
-                    f"{q(t.category)} AS category, {detector(text, d)} AS m FROM {src}")
+                    f"{q(t.category)} AS category, {detector(text, d)} AS m FROM {src}"
+                    + (f" WHERE {only[d]}" if only and d in only else ""))
     return f"{name}_raw AS (" + " UNION ALL ".join(rows) + f"), {name} AS (SELECT * FROM {name}_raw WHERE m IS NOT NULL AND m <> '')"
 
 

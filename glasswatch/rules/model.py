@@ -36,7 +36,8 @@ class Threat:
 
 @dataclass(frozen=True)
 class Detector:
-    """One ordered detector rule: the first pattern with a match decides."""
+    """One ordered detector rule: the first pattern with a match decides.  With a ``scope`` it runs only for rows that
+    list that number."""
 
     detector_id: str
     threat_id: int
@@ -46,6 +47,7 @@ class Detector:
     mode: str = "warn"
     hint: str = ""
     refine: str | None = None
+    scope: int | None = None
 
     @property
     def where(self) -> tuple[str, ...]:
