@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glasswatch.functions.text import basename
 from glasswatch.operators import inventory as I
-from glasswatch.queries import query, table
+from glasswatch.queries import SQL, query, table
+from glasswatch.queries.streams import work_folder
+from glasswatch.sources import sinks
 
 # Server launch lines by customer key; {n} is the key.
 _KINDS = (
@@ -109,6 +112,26 @@ def aibom_components(spark, sf):
     return rows.groupBy("type", "name", "detail").agg(F.count(F.lit(1)).alias("devices"))
 
 
+@query("component_csv", SQL["aibom_components"])
+def component_csv(spark, sf):
+    """The component report written as CSV and read back."""
+    path = f"{work_folder(spark)}/components"
+    sinks.write_component_csv(I.component_rows(I.components(config_files(spark, sf), file_inventory(spark, sf))), path)
+    return sinks.read_component_csv(spark, path).groupBy("type", "name", "detail").agg(F.count(F.lit(1)).alias("devices"))
+
+
+_PRESENT = ((I.CLAUDE_JSON, "true"), (I.CLAUDE_SETTINGS, "c_custkey % 4 < 3"), (I.CODEX_TOML, "c_custkey % 2 = 0 OR c_custkey % 3 = 0"),
+            (I.AIDER_YML, "c_custkey % 7 = 0"), (I.GH_HOSTS, "c_custkey % 5 = 0"), (I.CURSOR_JSON, "c_custkey % 8 = 0"), (I.CODEX_AUTH, "c_custkey % 9 = 0"))
+
+
+@query("config_base_names",
+       "SELECT base_name, count(*) AS files, count(DISTINCT device) AS devices FROM (" + " UNION ALL ".join(
+           f"SELECT c_custkey AS device, '{path.rsplit('/', 1)[-1]}' AS base_name FROM customer WHERE {there}" for path, there in _PRESENT) + ") GROUP BY base_name")
+def config_base_names(spark, sf):
+    return config_files(spark, sf).groupBy(basename(F.col("path")).alias("base_name")).agg(
+        F.count(F.lit(1)).alias("files"), F.count_distinct("device").alias("devices"))
+
+
 _SUMMARY = (f"WITH {_INV}, {_MCP}, {_PROV}, {_LOCAL}, a AS (SELECT device, 'p' AS w, provider, agent, model, NULL AS level FROM prov UNION ALL "
             "SELECT device, 'l', NULL, NULL, name, NULL FROM loc UNION ALL SELECT device, 'm', NULL, NULL, NULL, level FROM mcpl) SELECT {0} count(DISTINCT provider) AS providers, "
             "count(model) AS models, count(*) FILTER (w = 'l') AS local_models, count(DISTINCT agent) AS agents, count(*) FILTER (w = 'm') AS mcp_servers, "

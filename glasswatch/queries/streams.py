@@ -160,3 +160,14 @@ def stream_alert_sink(spark, sf):
         sinks.stream_once(al, f"{folder}/alerts", f"{folder}/{attempt}").awaitTermination()
     return sinks.read_batches(spark, f"{folder}/alerts", al.schema).select(
         "event_id", "device", "threat_id", "risk_level", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+@query("stream_audit_log", f"SELECT event_id, user_id AS actor, event_type AS action, {_PRIOR.format('ts')} AS at FROM events")
+def stream_audit_log(spark, sf):
+    """Events as append-only audit lines, read back; a restart from the same checkpoint appends nothing."""
+    entries = source(spark, sf, "events").select("event_id", F.col("user_id").alias("actor"), F.col("event_type").alias("action"),
+                                                 F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+    folder = work_folder(spark)
+    for _ in range(2):
+        sinks.stream_audit(entries, f"{folder}/audit", f"{folder}/state").awaitTermination()
+    return spark.read.schema(entries.schema).json(f"{folder}/audit")

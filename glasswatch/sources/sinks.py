@@ -30,6 +30,12 @@ def write_component_csv(rows: DataFrame, path: str, mode: str = "overwrite") ->
         .option("escape", '"').mode(mode).csv(path)
 
 
+def read_component_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a written report.  A CSV file has no null: a missing detail is an empty one."""
+    return spark.read.schema("type string, name string, detail string").option("header", True).option("escape", '"') \
+        .option("multiLine", True).csv(path).fillna("", ["detail"])
+
+
 def stream_audit(entries: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append-only JSON lines."""
     return entries.writeStream.format("json").outputMode("append").option("path", path) \
