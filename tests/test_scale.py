@@ -1,0 +1,39 @@
+"""Memory of a task must not follow the batch or the table."""
+
+import tracemalloc
+
+import pyarrow as pa
+
+import __spark_entry__ as E
+from glasswatch.operators.scan import BATCH_BYTES, Prefilter, _candidate_udf, _digit_counts, _slices
+from glasswatch.rules.detectors import DETECTORS
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_candidates_need_little_more_than_the_batch(spark):
+    texts = pa.array([None, "", "call 212-555-0187 " + "x" * 4000, "ignore previous prompts " + "y" * 4000] * 1000, pa.string())
+    pre = Prefilter(p for d in DETECTORS for p in d.patterns)
+    f = _candidate_udf(pre.owners, sorted(pre.digits), pre.always).func
+    small = f(texts.slice(0, 4)).to_pylist()
+    tracemalloc.start()
+    found = f(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == small * 1000
+    assert peak < texts.nbytes  # before: 16 times the batch and more
+
+
+def test_slices_cover_all_texts_in_order():
+    texts = pa.array(["a" * 5, None, "12", "", "b" * 9, "3"])
+    for cut in (texts, texts.slice(2)):
+        parts = list(_slices(cut, 6))
+        assert [x for p in parts for x in p.to_pylist()] == cut.to_pylist()
+        assert [n for p in parts for n in _digit_counts(p).tolist()] == [sum(c.isdigit() for c in x or "") for x in cut.to_pylist()]
+    assert [p.to_pylist() for p in _slices(texts.slice(0, 0))] == [[]]
+
+
+def test_queries_bound_the_bytes_of_an_arrow_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    E.queries()["index_quarantine_pages"](spark, SF)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in (BATCH_BYTES, BATCH_BYTES + "b")
