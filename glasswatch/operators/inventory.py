@@ -127,10 +127,13 @@ def mcp_servers(config_files: DataFrame) -> DataFrame:
             lambda p: F.coalesce(F.map_entries(p["mcpServers"]), empty)))).otherwise(empty))
     work = work.select("device", "scope", F.posexplode(entries).alias("pos", "e")) \
         .where(F.coalesce(F.col("e.key"), F.lit("")) != "")
-    first = work.groupBy("device", "scope", F.col("e.key").alias("name")).agg(F.min_by("e", "pos").alias("e"))
+    # What is kept of a server is worked out before rows are dealt by device: its map and launch line stay in the task that
+    # read them.  They are dealt first and reduced then, so no task sorts the entries of a whole split.
     srv = F.col("e.value")
-    return first.select("device", "scope", "name", mcp_transport(srv).alias("transport"),
-                        mcp_caps(srv).alias("caps"), mcp_risk(srv).alias("risk")) \
+    kept = F.struct("pos", mcp_transport(srv).alias("transport"), mcp_caps(srv).alias("caps"), mcp_risk(srv).alias("risk"))
+    rows = work.select("device", "scope", F.col("e.key").alias("name"), kept.alias("x")).repartition("device", "scope", "name")
+    first = rows.groupBy("device", "scope", "name").agg(F.min("x").alias("x"))
+    return first.select("device", "scope", "name", "x.transport", "x.caps", "x.risk") \
         .withColumn("level", mcp_level(F.col("caps")))
 
 

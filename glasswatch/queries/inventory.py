@@ -9,6 +9,7 @@ from glasswatch.operators import inventory as I
 from glasswatch.queries import SQL, query, table
 from glasswatch.queries.streams import work_folder
 from glasswatch.sources import sinks
+from glasswatch.sources.readers import spread
 
 # Server launch lines by customer key; {n} is the key.
 _KINDS = (
@@ -31,7 +32,7 @@ def _json(key: str) -> str:
 
 
 def config_files(spark, sf):
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     path = lambda p: F.concat(F.lit("/home/u"), F.col("c_custkey").cast("string"), F.lit(p))
     files = F.array(
         F.struct(path(I.CLAUDE_JSON).alias("path"), F.expr(_json("c_custkey")).alias("text")),
@@ -55,7 +56,7 @@ _DIRS = ("/home/u{0}", "/home/u{0}" + I.OLLAMA_DIR, "/home/u{0}" + I.LMSTUDIO_DI
 
 def file_inventory(spark, sf):
     """Every part is a file on the device of its size class."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey"), "p_partkey")
     d = "p_partkey % 40"
     name = "CASE WHEN p_partkey % 5 = 3 THEN CASE p_partkey % 2 WHEN 0 THEN 'Cursor.app' ELSE 'Mail.app' END WHEN p_partkey % 5 = 4 THEN CASE WHEN p_partkey % 3 = 0 THEN 'aider' ELSE 'ls' END ELSE " \
            + f"CASE p_partkey % {len(_NAMES)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_NAMES)) + " END END"

@@ -5,7 +5,9 @@ import tracemalloc
 import pyarrow as pa
 
 import __spark_entry__ as E
+from glasswatch.operators.inventory import mcp_servers
 from glasswatch.operators.scan import BATCH_BYTES, Prefilter, _candidate_udf, _digit_counts, _slices
+from glasswatch.queries.inventory import config_files, file_inventory
 from glasswatch.rules.detectors import DETECTORS
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,18 @@ def test_queries_bound_the_bytes_of_an_arrow_batch(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
     E.queries()["index_quarantine_pages"](spark, SF)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in (BATCH_BYTES, BATCH_BYTES + "b")
+
+
+def test_inventory_sources_are_dealt_to_many_tasks(spark):
+    for rows in (config_files(spark, SF), file_inventory(spark, SF)):
+        assert rows.rdd.getNumPartitions() >= 32  # before: one task for each split, whatever it grows to
+
+
+def test_servers_are_dealt_before_they_are_reduced(spark):
+    text = '{"mcpServers":{"a":{"command":"npx"},"b":{"url":"https://x"}},"projects":{"/p":{"mcpServers":{"a":{"command":"bash"}}}}}'
+    files = spark.createDataFrame([("d1", "/u/.claude.json", text), ("d1", "/u/.cursor/mcp.json", text)], "device string, path string, text string")
+    found = mcp_servers(files)
+    assert {(r.scope, r.name, r.transport) for r in found.collect()} == {
+        (s, n, t) for s in ("claude", "cursor") for n, t in (("a", "stdio"), ("b", "remote"))}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[plan.index("RepartitionBy" if "RepartitionBy" in plan else "REPARTITION_BY"):]  # before: sorted whole splits
