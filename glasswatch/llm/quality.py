@@ -27,6 +27,8 @@ STOPWORDS = ("the of and to in a is that it for on was with be by are das der di
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_stop",
           "n_ends", "n_shout", "n_stutter")
 WINDOW = 5
+# Bytes of text counted at once: the arrays of a slice take about a hundred times that.
+SLICE_BYTES = 1 << 20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -114,7 +116,7 @@ def measured_column(text: Column) -> Column:
     @arrow_udf(", ".join(f"{c} long" for c in COUNTS))
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [counts(batch.slice(*part)) for part in slices(batch)] or [counts(batch)]
+            found = [counts(batch.slice(*part)) for part in slices(batch, SLICE_BYTES)] or [counts(batch)]
             yield pa.StructArray.from_arrays([pa.array(np.concatenate([f[c] for f in found]), pa.int64()) for c in COUNTS], COUNTS)
     return measured(text.cast("string"))
 

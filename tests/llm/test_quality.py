@@ -1,9 +1,12 @@
 import collections
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from glasswatch.llm import quality
+from glasswatch.llm.common import slices
 
 from .helpers import LARGER, WORD, edge_docs, rows
 
@@ -66,3 +69,15 @@ def test_edges(spark):
     whole = quality.passed(edge_docs(spark))
     assert whole.columns == edge_docs(spark).columns and whole.count() == sum(r.kept for r in got)
     assert quality.verdicts(edge_docs(spark, empty=True)).collect() == []
+
+
+def test_counting_works_on_short_slices():
+    texts = pa.array(["Some words of a text, and more of them.\n" * 100] * 1500)  # 6 MB
+    cut = list(slices(texts, quality.SLICE_BYTES))
+    assert len(cut) > 4
+    tracemalloc.start()
+    for part in cut:
+        quality.counts(texts.slice(*part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20  # with slices of 4 MB: 434 MB
