@@ -13,6 +13,8 @@ Nulls: a null text encodes like an empty one, to no ids.  Null ids decode to no
 from __future__ import annotations
 
 import base64
+import functools
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,6 +33,23 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MEMO = 200_000
 
 
+@functools.cache
+def token_bytes(path: str = RANKS) -> list[bytes]:
+    """Bytes by rank, all that decoding needs; read once in each Python process."""
+    with open(path, "rb") as lines:
+        by_rank = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return [by_rank.get(i, b"") for i in range(max(by_rank, default=-1) + 1)]
+
+
+def joined_bytes(ids: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Vocabulary:
     """Ranks of byte strings, with what backtracking needs."""
 
@@ -38,12 +57,13 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, lines)}
         self.text = {r: t for t, r in self.rank.items()}
-        self.bytes = [self.text.get(i, "").encode("latin-1") for i in range(max(self.text, default=-1) + 1)]
+        self.bytes = token_bytes(path)
         self.size = [len(b) for b in self.bytes]
         self.most = max(self.size, default=0)
         self.parts: dict[int, tuple[int, int]] = {}  # the last merge that makes a token
         self.joined: dict[tuple[int, int], int] = {}
         self.shorter = [-1] * len(self.bytes)  # the longest proper prefix that is a token too
+        self.ends: dict[str, int] = {}  # beginnings of tokens -> the longest token that each starts with
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
         for r in sorted(self.text):
@@ -55,9 +75,14 @@ class Vocabulary:
                     self.joined[halves[0], halves[1]] = r
         self.find = ahocorasick.Automaton()
         for r in self.parts:
-            token = self.text[r]
+            token, held = self.text[r], -1
             self.find.add_word(token, r)
-            self.shorter[r] = next((self.rank[token[:n]] for n in range(len(token) - 1, 0, -1) if self.rank.get(token[:n]) in self.parts), -1)
+            for n in range(1, len(token)):
+                start = self.rank.get(token[:n])
+                held = start if start in self.parts else held
+                self.ends[token[:n]] = held
+            self.shorter[r] = held
+            self.ends[token] = r
         self.find.make_automaton()
 
     def _merged(self, token: str, below: int) -> list[int]:
@@ -98,22 +123,16 @@ class Vocabulary:
     def longest(self, piece: str, at: int) -> int:
         """The longest token that starts at a place, or -1: as far as the automaton's trie goes, then back to a token."""
         reach = piece[at:at + self.most]
-        n = self.find.longest_prefix(reach)
-        while n:
-            r = self.rank.get(reach[:n])
-            if r in self.parts:
-                return r
-            n -= 1
-        return -1
+        return self.ends.get(reach[:self.find.longest_prefix(reach)], -1)
 
     def encode_piece(self, piece: str) -> list[int]:
         """Token ids of one piece, given as Latin-1."""
         if piece in self.rank:
             return [self.rank[piece]]
-        n, size, pairs, shorter = len(piece), self.size, self.pairs, self.shorter
+        n, size, pairs, shorter, longest = len(piece), self.size, self.pairs, self.shorter, self.longest
         sound = bytearray(b"\1") * (n + 1)
         out: list[int] = []
-        at, token, before = 0, self.longest(piece, 0), -1
+        at, token, before = 0, longest(piece, 0), -1
         while at < n:
             while token >= 0:
                 end = at + size[token]
@@ -127,7 +146,7 @@ class Vocabulary:
             if token >= 0:
                 out.append(token)
                 at, before = end, token
-                token = self.longest(piece, at) if at < n else -1
+                token = longest(piece, at) if at < n else -1
             else:
                 if before < 0:
                     raise ValueError("the vocabulary lacks single bytes")
@@ -145,14 +164,14 @@ class Vocabulary:
             if ids is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                ids = np.array(self.encode_piece(piece.encode().decode("latin-1")), "<u4").tobytes()
+                ids = packed(self.encode_piece(piece.encode().decode("latin-1")))
                 if len(piece) < 100:
                     memo[piece] = ids
             out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return joined_bytes(ids, self.bytes)
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -179,9 +198,9 @@ def decode(ids: Column, ranks: str = RANKS) -> Column:
     """Bytes of each id sequence made by ``encode``."""
     @arrow_udf("binary")
     def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = vocabulary(ranks)
+        tokens = token_bytes(ranks)
         for batch in batches:
-            yield pa.array((words.decode(t.as_py() or b"") for t in batch), pa.binary())
+            yield pa.array((joined_bytes(t.as_py() or b"", tokens) for t in batch), pa.binary())
     return raw(ids)
 
 

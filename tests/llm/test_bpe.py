@@ -55,3 +55,19 @@ def test_edges(spark):
     got = bpe.digests(edge_docs(spark)).collect()
     assert len(got) == 7 and sorted(r.n_tokens for r in got)[:3] == [0, 0, 0]
     assert bpe.digests(edge_docs(spark, empty=True)).collect() == []
+
+
+def test_the_longest_token_is_found_in_one_step():
+    v, rng = bpe.vocabulary(), random.Random(5)
+    for _ in range(2000):
+        piece = "".join(rng.choice(list(v.text.values())) for _ in range(3))
+        want = next((v.rank[piece[:n]] for n in range(min(len(piece), v.most), 0, -1) if v.rank.get(piece[:n]) in v.parts), -1)
+        assert v.longest(piece, 0) == want
+    # before: stepped back byte by byte through beginnings that are no tokens
+    assert all(token[:n] in v.ends for token in map(v.text.get, v.parts) for n in range(1, len(token) + 1))
+
+
+def test_decoding_needs_no_vocabulary(monkeypatch):
+    raw = bpe.vocabulary().encode("some text", SPLIT)
+    monkeypatch.setattr(bpe, "Vocabulary", None)  # before: every decoding worker built one
+    assert bpe.joined_bytes(raw, bpe.token_bytes.__wrapped__(bpe.RANKS)) == b"some text"
