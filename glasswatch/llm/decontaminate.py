@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
-from glasswatch.llm.common import query, shared_folder, slices, small, table, text_bytes, written
+from glasswatch.llm.common import SLICE_BYTES, query, shared_folder, slices, small, table, text_bytes, written
 
 RATE = 0.08
 BLOCK_BYTES = 1 << 20
@@ -160,7 +160,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known = Items(sent.value, rate)
-            for batch in small(batches, 1):
+            for batch in small(batches, 1, SLICE_BYTES):
                 raw, edge, origin, data, offsets = normal(batch.column(1))
                 found = []
                 for i in range(len(batch)):
@@ -186,7 +186,7 @@ def contains(text: Column, sent: Broadcast, rate: float = RATE) -> Column:
         known = Items(sent.value, rate)
         for batch in batches:
             found = []
-            for first, n in slices(batch):
+            for first, n in slices(batch, SLICE_BYTES):
                 raw, edge, *_ = normal(batch.slice(first, n))
                 found += [bool(known.search(raw[edge[i]:edge[i + 1]])) for i in range(n)]
             yield pa.array(found, pa.bool_())

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from glasswatch.llm.common import lower_ascii, mixed, prefix_hash, query, range_hash, slices, table, text_bytes, words
+from glasswatch.llm.common import SLICE_BYTES, lower_ascii, mixed, prefix_hash, query, range_hash, slices, table, text_bytes, words
 
 # Function words of the languages of the corpus: fixed values.
 STOPWORDS = ("the of and to in a is that it for on was with be by are das der die und ist von im ein eine zu nicht mit den auf für "
@@ -27,8 +27,6 @@ STOPWORDS = ("the of and to in a is that it for on was with be by are das der di
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_stop",
           "n_ends", "n_shout", "n_stutter")
 WINDOW = 5
-# Bytes of text counted at once: the arrays of a slice take about a hundred times that.
-SLICE_BYTES = 1 << 20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True

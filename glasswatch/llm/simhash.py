@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasswatch.llm.common import lower_ascii, query, small, table, text_bytes, words, written
+from glasswatch.llm.common import SLICE_BYTES, lower_ascii, query, small, table, text_bytes, words, written
 from glasswatch.llm.components import components
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
@@ -33,6 +33,8 @@ LENGTH, RADIUS = 23, 3
 GENERATOR = 0b110001110101  # of the code, as a polynomial: fixed value
 # Copies that one anchor compares in one block.
 PART = 4096
+# Fingerprints whose copies are made at once, about a thousand each.
+AT_ONCE = 512
 
 
 def normal_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 1):
+        for batch in small(batches, 1, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(batch.column(1), shingle).view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")) \
@@ -184,8 +186,8 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, part: int = PART) ->
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for k in range(0, len(fps), 2048):
-                fp = fps[k:k + 2048]
+            for k in range(0, len(fps), AT_ONCE):
+                fp = fps[k:k + AT_ONCE]
                 row, at = anchors_near(fp, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(fp[row].view(np.int64)),
                                                   pa.array(at == anchor(fp)[row])], ["anchor", "fp", "own"])

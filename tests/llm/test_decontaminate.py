@@ -1,4 +1,9 @@
 import random
+import tracemalloc
+import types
+
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from glasswatch.llm import decontaminate as D
 
@@ -62,3 +67,21 @@ def test_edges_and_blocks(spark):
     assert D.matches(docs.limit(0), items).collect() == [] and D.matches(docs, items.limit(0)).collect() == []
     assert D.clean(docs, items.limit(0)).count() == 7
     assert sorted(str(r.doc_id) for r in D.clean(docs, items, size=1).collect()) == ["1", "2", "2", "5", "6"]
+
+
+def test_texts_are_searched_in_short_slices(spark):
+    texts = pa.array(["Some words of a text, and more of them.\n" * 100] * 1500)  # 6 MB
+    sent = types.SimpleNamespace(value=[(1, b"an item that no text holds")])
+    hit = D.contains.__globals__["arrow_udf"]
+    found = []
+    try:
+        D.arrow_udf = lambda kind: lambda fn: lambda column: found.append(fn)
+        D.contains(F.col("text"), sent)
+    finally:
+        D.arrow_udf = hit
+    tracemalloc.start()
+    out = list(found[0](iter([texts])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in out] == [1500] and not any(out[0].to_pylist())
+    assert peak < 40 << 20  # with slices of 4 MB: 146 MB
